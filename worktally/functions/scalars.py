@@ -137,8 +137,9 @@ def first_letters(c: Column | str) -> Column:
 
 
 def pad_cell(c: Column | str, default: str = " - ") -> Column:
-    """Number for a printed table: one decimal, dash when missing."""
-    return F.coalesce(F.format_string("%.1f", as_col(c)), F.lit(default))
+    """Number for a printed table: one decimal, ties to even, dash when missing."""
+    c = as_col(c)
+    return F.when(c.isNull(), F.lit(default)).otherwise(F.format_string("%.1f", F.bround(c, 1)))
 
 
 def format_count(c: Column | str, big_mark: str = ",") -> Column:
@@ -153,4 +154,4 @@ def format_share(c: Column | str, digits: int = 1, rounding: str = "half even",
     text = F.format_string(f"%.{digits}f", percent)
     if affix:
         text = F.concat(text, F.lit("%"))
-    return F.when(as_col(c).isNotNull(), F.coalesce(text, F.lit("-")))
+    return F.when(as_col(c).isNull(), F.lit("-")).otherwise(text)
