@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worktally.operators.joins import attach_group, join_null_safe
+from worktally.operators.joins import join_null_safe
 
 
 # ------------------------------------------------------------- missing values
@@ -113,13 +113,15 @@ def get_dupes(df: DataFrame, cols: Sequence[str] | None = None, sort: bool = Tru
 
 
 # ------------------------------------------------------------- value relations
+def _value_range(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """Smallest and largest value and row count per group, by way of value counts."""
+    counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*by).agg(F.min(col).alias("first_value"), F.max(col).alias("other_value"), F.sum("n").alias("n"))
+
+
 def single_value_report(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Groups in which ``col`` has more than one value, with two witnesses."""
-    return (
-        df.groupBy(*by)
-        .agg(F.min(col).alias("first_value"), F.max(col).alias("other_value"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("first_value") != F.col("other_value"))
-    )
+    return _value_range(df, by, col).filter(F.col("first_value") != F.col("other_value"))
 
 
 def single_value(df: DataFrame, by: Sequence[str], col: str, into: str | None = None, info: str = "") -> DataFrame:
@@ -129,11 +131,10 @@ def single_value(df: DataFrame, by: Sequence[str], col: str, into: str | None =
     """
     into = into or col
     named = F.concat_ws(", ", *[F.concat(F.lit(f"{k} = "), F.coalesce(F.col(k).cast("string"), F.lit("NA"))) for k in by])
-    only = F.when(
-        F.min(col) != F.max(col),
-        F.raise_error(F.concat(F.lit(f"{info or col}: more than one value for "), F.first(named))).cast(df.schema[col].dataType),
-    ).otherwise(F.max(col))
-    return attach_group(df, by, __only=only).withColumn(into, F.col("__only")).drop("__only")
+    failure = F.raise_error(F.concat(F.lit(f"{info or col}: more than one value for "), named))
+    only = F.when(F.col("first_value") != F.col("other_value"), failure.cast(df.schema[col].dataType)).otherwise(F.col("other_value"))
+    values = _value_range(df, by, col).select(*by, only.alias("__only"))
+    return join_null_safe(df, values, by, "left").withColumn(into, F.col("__only")).drop("__only")
 
 
 def get_one_to_one(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

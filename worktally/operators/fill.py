@@ -29,8 +29,11 @@ def fill_down(df: DataFrame, col: str, by: Sequence[str], date: str = "date") ->
         .orderBy(F.col(date).asc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # Distinct values are hashed map-side; a maximum of text would sort all rows.
     carried = (
-        df.groupBy(*keys)
+        df.select(*keys, col)
+        .distinct()
+        .groupBy(*keys)
         .agg(F.max(col).alias("__known"), F.max(F.col(col).isNull()).alias("__gap"))
         .withColumn("__known", F.last("__known", ignorenulls=True).over(in_order))
         .filter(F.col("__gap") & F.col("__known").isNotNull())

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from worktally.functions.scalars import weekday_label
 from worktally.operators.joins import join_null_safe
@@ -13,7 +15,9 @@ from worktally.operators.joins import join_null_safe
 # Column labels of a week, Monday first.
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
+# Longest axis kept in one array, and the piece size beyond it.
 AXIS_LIMIT = 100_000
+AXIS_PIECE = 10_000
 
 
 def pivot_week(
@@ -60,25 +64,29 @@ def complete(
 
     ``axis`` is the short side (months, weeks, categories): its values are
     gathered into one array per ``by`` group and exploded next to each key, so
-    nothing but the required combinations is ever produced. An axis of more
-    than 100,000 values fails and asks for the two sides to be swapped. ``fill``
+    nothing but the required combinations is ever produced. A date axis is
+    bounded by the calendar; the size of any other axis is counted first, and a
+    long one is cut into pieces that meet the keys in an equi join. ``fill``
     replaces missing values, those that were there before included.
     """
-    members = F.sort_array(F.collect_set(F.struct(axis)))
-    members = F.when(
-        F.size(members) > AXIS_LIMIT,
-        F.raise_error(F.lit(f"{axis} has too many values for an axis, swap key and axis")).cast(
-            f"array<struct<{axis}:{df.schema[axis].dataType.simpleString()}>>"
-        ),
-    ).otherwise(members)
-    # Distinct first, so that the gathered set merges short partial sets only.
-    axes = df.select(*by, axis).distinct()
-    if by:
-        axes = axes.groupBy(*by).agg(members.alias("__axis"))
-        grid = join_null_safe(df.select(*by, key).distinct(), axes, by)
+    by = list(by)
+    # Distinct first, so that the gathered list merges short partial lists only.
+    axes, keys = df.select(*by, axis).distinct(), df.select(*by, key).distinct()
+    members = F.sort_array(F.collect_list(F.struct(axis))).alias("__axis")
+    pieces = 1
+    if not isinstance(df.schema[axis].dataType, T.DateType):
+        sizes = axes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        longest = sizes.agg(F.max("n")).first()[0] or 0
+        pieces = 1 if longest <= AXIS_LIMIT else ceil(longest / AXIS_PIECE)
+    if pieces > 1:
+        cut = axes.withColumn("__piece", F.pmod(F.xxhash64(axis), F.lit(pieces)).cast("int"))
+        lists = cut.groupBy(*by, "__piece").agg(members)
+        spread_keys = keys.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        grid = join_null_safe(spread_keys, lists, [*by, "__piece"])
+    elif by:
+        grid = join_null_safe(keys, axes.groupBy(*by).agg(members), by)
     else:
-        axes = axes.agg(members.alias("__axis"))
-        grid = df.select(key).distinct().withColumn("__axis", axes.scalar())
+        grid = keys.withColumn("__axis", axes.agg(members).scalar())
     grid = grid.withColumn("__axis", F.explode("__axis")).select(*by, key, F.col(f"__axis.{axis}").alias(axis))
     out = join_null_safe(grid, df, [*by, key, axis], "left").select(*df.columns)
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (fill or {}).items()})

@@ -21,6 +21,7 @@ from worktally.functions.scalars import fiscal_year, later_of, month_start
 from worktally.operators.cleaning import drop_missing, fill_const, fill_with_max, nan_to_null, quality_gate
 from worktally.operators.fill import fill_down
 from worktally.operators.joins import join_null_safe, union_feeds, validity_join
+from worktally.session import stored
 
 WEEK = ["year", "month", "period"]
 
@@ -71,9 +72,12 @@ def collapse(charges: DataFrame) -> DataFrame:
 
 
 def charge_ledger(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Accepted charges of ``prepare_charges``, collapsed before any other work."""
-    filled = fill_down(collapse(type_charges(raw, by)), "code", [*by, "project"])
-    return quality_gate(filled, ["project", "code"])[0]
+    """Accepted charges of ``prepare_charges``, collapsed before any other work.
+
+    The raw feed is read once: filling reads the stored, collapsed entries twice.
+    """
+    entries = stored(collapse(type_charges(raw, by)), "entries")
+    return quality_gate(fill_down(entries, "code", [*by, "project"]), ["project", "code"])[0]
 
 
 def plan_ledger(raw: DataFrame, by: Sequence[str] = (), need_hours: bool = True) -> DataFrame:
@@ -143,13 +147,19 @@ def combine(charges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Charges lie inside the range that was derived from them, so only the blanks
     are trimmed, while they are made; a self-join of the charges is not needed.
+    A range lies in one fiscal year and is spelled out as its calendar weeks, at
+    most 54, which turns the range join into an equi join on the week. Charges
+    are read three times here, so they are stored first.
     """
-    projects = derive_projects(charges, by)
-    weeks = charged_weeks(charges, by)
+    charges = stored(charges, "charges")
+    first, last = F.trunc("startdate", "week"), F.trunc("enddate", "week")
+    spelled = F.explode(F.sequence(first, last, F.expr("interval 7 days")))
+    projects = derive_projects(charges, by).withColumn("__week", spelled)
+    weeks = charged_weeks(charges, by).withColumn("__week", F.trunc("period", "week"))
     inside = F.col("period").between(F.col("startdate"), F.col("enddate"))
-    blanks = _as_blank(join_null_safe(projects, weeks, [*by, "year"], "inner", inside))
+    blanks = _as_blank(join_null_safe(projects, weeks, [*by, "year", "__week"], "inner", inside))
     dated = with_counts(charges).filter(F.col("date").isNotNull())
-    return union_feeds(dated, blanks.drop("startdate", "enddate"))
+    return union_feeds(dated, blanks.drop("startdate", "enddate", "__week"))
 
 
 def combine_with_plan(charges: DataFrame, projects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -158,6 +168,7 @@ def combine_with_plan(charges: DataFrame, projects: DataFrame, by: Sequence[str]
     Several plan rows of one key each meet every row of that key, blanks
     included, as the plan sheet asks.
     """
+    charges, projects = stored(charges, "charges"), stored(projects, "plan")
     keys = ["project", "subproject"]
     blanks = blank_weeks(charges, projects, by, keys)
     return validity_join(union_feeds(with_counts(charges), blanks), projects, [*by, "year", *keys])

@@ -23,6 +23,7 @@ from worktally.operators.joins import attach_group, join_null_safe
 from worktally.operators.ranking import first_appearance_rank, share_scaling
 from worktally.operators.reshape import complete, gather
 from worktally.plans.charges import with_counts
+from worktally.session import stored
 
 # Project and total hours per month on an eight-hour day, the
 # flat monthly target of the first budget rule and its seven-hour-day form.
@@ -45,18 +46,32 @@ def _month_lines(rows: DataFrame, by: Sequence[str], budgeted: bool) -> DataFram
     a budget per row. Everything after the first aggregate is calendar-sized
     per project.
     """
-    measures = [sum_lenient("hours").alias("hours"), F.max(F.coalesce("code2", F.lit(NO_CODE))).alias("code2")]
+    # Text and budget are keys of the first step, which then only adds numbers and
+    # is hashed map-side; maximum and median work on its short result.
+    details = [*by, "month", "project2", "code2"] + (["budgeted"] if budgeted else [])
+    weight = F.when(F.col("length").isNotNull(), F.col("n"))
+    parts = rows.groupBy(*details).agg(
+        F.sum("hours").alias("hours"),
+        F.sum("n").alias("n"),
+        F.sum(F.col("length") * F.col("n")).alias("__lengths"),
+        F.sum(weight).alias("__weight"),
+    )
+    measures = [
+        sum_lenient("hours").alias("hours"),
+        F.max(F.coalesce("code2", F.lit(NO_CODE))).alias("code2"),
+        F.sum("__lengths").alias("__lengths"),
+        F.sum("__weight").alias("__weight"),
+    ]
     if budgeted:
         measures.append(median_lenient("budgeted", "n").alias("budgeted"))
-    lines = rows.groupBy(*by, "month", "project2").agg(*measures)
+    sums = stored(parts.groupBy(*by, "month", "project2").agg(*measures), "months")
+    lengths = sums.groupBy(*by, "month").agg(F.try_divide(F.sum("__lengths"), F.sum("__weight")).alias("length"))
+    lines = sums.drop("__lengths", "__weight")
     lines = complete(lines, "project2", "month", by, {"hours": 0.0, "code2": NO_CODE})
-    lines = lines.withColumn("year", fiscal_year("month"))
+    lines = join_null_safe(lines, lengths, [*by, "month"], "left").withColumn("year", fiscal_year("month"))
     # At most twelve months per group.
     one_year = Window.partitionBy(*by, "year", "project2")
     lines = lines.withColumn("code2", F.max("code2").over(one_year))
-    weight = F.when(F.col("length").isNotNull(), F.col("n"))
-    lengths = rows.groupBy(*by, "month").agg(F.try_divide(F.sum(F.col("length") * F.col("n")), F.sum(weight)).alias("length"))
-    lines = join_null_safe(lines, lengths, [*by, "month"], "left")
     shown = {
         "hours": clamp_zero("hours"),
         "profile": round_half_even(F.col("length") * PROJECT_HOURS / FULL_DAY),
@@ -153,7 +168,7 @@ def monthly_budget_flat(
         .groupBy(*by, "project", month_start(date).alias("month"))
         .agg(sum_lenient("hours").alias("monthhours"))
     )
-    lines = join_null_safe(hours, per_project, [*by, "project"], "full")
+    lines = stored(join_null_safe(hours, per_project, [*by, "project"], "full"), "months")
     lines = lines.withColumn("monthhours", F.col("monthhours") * F.coalesce("__plans", F.lit(1))).drop("__plans")
     lines = complete(lines, "project", "month", by, {"monthhours": 0.0}).filter(F.col("month").isNotNull())
     return _flagged(lines, by, "monthbudget")
@@ -175,6 +190,7 @@ def monthly_target_scale(
         sum_lenient("hours").alias("monthhours"),
         median_lenient("target", "n").alias("monthtarget"),
     )
+    lines = stored(lines, "months")
     lines = complete(lines, "project", "month", by, {"monthhours": 0.0}).filter(F.col("month").isNotNull())
     lines = _flagged(lines, by, "monthbudget", "monthtarget")
     nonproj = in_set("project", npt)

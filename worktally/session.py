@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -40,3 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="worktally-")
     spark.conf.set(CHECKPOINT_KEY, folder)
     return folder
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several later steps read, and go on from the copy.
+
+    Spark would compute a shared input once per step, as every step prunes it to
+    other columns. The copy is Parquet in the shared folder: steps read only
+    their columns, its size is known when joins are planned, and a lost executor
+    costs no recomputation.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,11 +40,15 @@ def plan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan sheet per fiscal year, project and subproject with open ends and gaps."""
     entries = charges_raw(spark, sf_dir).filter(F.col("hours").isNotNull())
     entries = entries.withColumn("date", later_of("date", "period"))
-    plan = entries.groupBy(fiscal_year("date").alias("year"), "project", "subproject").agg(
-        F.min("date").alias("startdate"),
-        F.max("date").alias("lastdate"),
+    keys = [fiscal_year("date").alias("year"), F.col("project"), F.col("subproject")]
+    codes = entries.groupBy(*keys, "code").agg(
+        F.min("date").alias("first"), F.max("date").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    plan = codes.groupBy("year", "project", "subproject").agg(
+        F.min("first").alias("startdate"),
+        F.max("last").alias("lastdate"),
         F.max("code").alias("code"),
-        F.count(F.lit(1)).alias("n"),
+        F.sum("n").alias("n"),
     )
     sub = F.col("subproject")
     return plan.select(
