@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worktally.operators.joins import join_null_safe
+from worktally.session import stored
 
 
 # ------------------------------------------------------------- missing values
@@ -101,7 +102,7 @@ def get_dupes(df: DataFrame, cols: Sequence[str] | None = None, sort: bool = Tru
     if wide:
         hashed = df.withColumn("__hash", F.xxhash64(*cols))
         again = hashed.groupBy("__hash").count().filter("count > 1").select("__hash")
-        rows = hashed.join(again, "__hash", "left_semi").drop("__hash")
+        rows = stored(hashed.join(again, "__hash", "left_semi").drop("__hash"), "repeats")
     repeated = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("dupe_count")).filter("dupe_count > 1")
     out = join_null_safe(rows, repeated, cols, "inner")
     rest = [c for c in df.columns if c not in cols]

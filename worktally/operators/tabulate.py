@@ -191,13 +191,16 @@ class Tabulation:
         """One column per level of the second variable, missing last.
 
         Without ``levels`` the distinct column labels are looked up in the
-        counts, which are already short.
+        counts, at most as many as Spark allows a pivot.
         """
         cells = self.labelled()
         shown = "text" if "text" in cells.columns else "value"
         levels = levels or self.col_levels
         if levels is None:
             found = cells.filter(~F.col("col_total")).select(self.col, "col_label").distinct()
+            most = int(cells.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+            if found.limit(most + 1).count() > most:
+                raise ValueError(f"{self.col} has more than {most} values, keep the table in long form")
             names = [r[0] for r in found.orderBy(F.col(self.col).asc_nulls_last()).select("col_label").collect()]
         else:
             names = [EMPTY_LABEL if v == "" else str(v) for v in levels]

@@ -53,15 +53,17 @@ def find_header(lines: DataFrame, value: str | None = None, column: int = 1) ->
     """
     if value is not None:
         hits = lines.filter(F.get("cells", F.lit(column - 1)) == value)
-        return hits.groupBy("feed").agg(F.min("pos").alias("header_row"), F.min_by("cells", "pos").alias("names"))
-    full = F.forall("cells", lambda c: c.isNotNull() & (c != ""))
-    by_width = lines.groupBy("feed", F.size("cells").alias("__width")).agg(
-        F.min(F.when(full, F.struct("pos", "cells"))).alias("__top")
-    )
-    widest = by_width.groupBy("feed").agg(F.max_by("__top", "__width").alias("__top"))
-    return widest.filter("__top is not null").select(
-        "feed", F.col("__top.pos").alias("header_row"), F.col("__top.cells").alias("names")
-    )
+        at = hits.groupBy("feed").agg(F.min("pos").alias("header_row"))
+    else:
+        full = F.forall("cells", lambda c: c.isNotNull() & (c != ""))
+        by_width = lines.groupBy("feed", F.size("cells").alias("__width")).agg(
+            F.min(F.when(full, F.col("pos"))).alias("header_row")
+        )
+        at = by_width.groupBy("feed").agg(F.max_by("header_row", "__width").alias("header_row"))
+    # Positions are found by hashing; only then are the cells of those few rows taken.
+    at = at.filter(F.col("header_row").isNotNull()).withColumnRenamed("header_row", "pos")
+    found = join_null_safe(lines, at, ["feed", "pos"])
+    return found.select("feed", F.col("pos").alias("header_row"), F.col("cells").alias("names"))
 
 
 def _unique(names: Column) -> Column:

@@ -20,19 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def charges_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One work entry per line item; person is the supplier, project the part type."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    date = F.to_date("l_shipdate")
-    monday = F.to_date(F.date_trunc("week", "l_shipdate"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.to_date("l_shipdate").alias("date")
+    )
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_type", "p_brand", F.concat(F.lit("C"), F.col("p_size").cast("string")).alias("code")
+    )
+    monday = F.trunc("date", "week")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("person"),
-        date.alias("date"),
+        "date",
         F.when(F.col("l_linenumber") == 7, F.date_add(monday, 7)).otherwise(monday).alias("period"),
         F.col("p_type").alias("project"),
         F.col("p_brand").alias("subproject"),
-        F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("C"), F.col("p_size").cast("string"))).alias("code"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("code")).alias("code"),
         F.when(~((F.col("l_linenumber") == 5) & (F.col("l_quantity") == 50)), F.col("l_quantity") / 4).alias("hours"),
-        F.when(F.year(date) < 1998, F.lit(7.5)).otherwise(F.lit(8.0)).alias("length"),
+        F.when(F.year("date") < 1998, F.lit(7.5)).otherwise(F.lit(8.0)).alias("length"),
     )
 
 
