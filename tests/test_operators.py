@@ -194,6 +194,16 @@ def test_quantiles_by_narrowing_are_exact(spark, monkeypatch, kind):
     assert quantiles.exact_quantiles(df, "x", probs) == pytest.approx(list(np.quantile(data, probs)), rel=1e-12)
 
 
+@pytest.mark.parametrize("size", [2000, 2001])
+def test_group_median_is_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(quantiles, "NARROWING_ERROR", 0.02)
+    groups = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE 'tied' END AS g"
+    values = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 2 THEN double(id % 2) ELSE double(id * 7919 % 2003) END AS x"
+    df = spark.range(size).selectExpr(groups, values).union(spark.sql("SELECT 'one', 5.0D UNION ALL SELECT 'none', NULL"))
+    want = {r[0]: r[1] for r in df.groupBy("g").agg(F.median("x")).collect() if r[1] is not None}
+    assert {r["g"]: r["median"] for r in quantiles.group_median(df, ["g"], "x").collect()} == want
+
+
 def test_quantile_bins(spark, rows):
     df = spark.createDataFrame([(float(i),) for i in range(1, 8)], "x double")
     out = quantiles.quantile_bins(df, "x", [0, 1 / 3, 2 / 3, 1])

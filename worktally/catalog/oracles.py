@@ -562,6 +562,7 @@ sql(
   bool_and(hours > 0) AS all_positive, avg(CAST(hours > 6 AS INTEGER)) AS share_long
 FROM charges_raw GROUP BY ALL""",
 )
+sql("group_median", "", "SELECT l_returnflag, median(round(l_extendedprice * 100)) AS median FROM lineitem GROUP BY ALL")
 sql("n_distinct_null", RAW, "SELECT person, count(DISTINCT coalesce(code, '')) AS n_codes FROM charges_raw GROUP BY person")
 sql("distinct_weeks", TYPED, "SELECT DISTINCT year, month::VARCHAR AS month, period::VARCHAR AS period FROM typed")
 sql(
@@ -690,6 +691,32 @@ sql(
     + _by_priority(f"concat({SHARE_TEXT.format(d=1, s='10', x='count(*) FILTER (?) / count(*)')}, ' (', {COMMA}, ')')")
     + ", concat('100.0% (', format('{:,}', count(*)), ')') AS \"Total\" FROM orders GROUP BY ROLLUP (o_orderstatus)",
 )
+sql(
+    "adorn_one_way",
+    "",
+    f"""SELECT CASE WHEN grouping(lang) = 1 THEN 'Total' ELSE lang END AS lang, count(*) AS n,
+  {SHARE_TEXT.format(d=1, s='10', x='count(*) / any_value(t)')} AS percent
+FROM documents CROSS JOIN (SELECT count(*) AS t FROM documents) GROUP BY ROLLUP (lang)""",
+)
+sql(
+    "adorn_three_way",
+    "",
+    "SELECT l_returnflag, CASE WHEN grouping(l_linestatus) = 1 THEN 'Total' ELSE l_linestatus END AS \"l_linestatus/l_linenumber\", "
+    + ", ".join(
+        "concat("
+        + SHARE_TEXT.format(d=1, s="10", x=f"count(*) FILTER (l_linenumber = {i}) / any_value(t)")
+        + f", ' (', format('{{:,}}', count(*) FILTER (l_linenumber = {i})), ')') AS \"{i}\""
+        for i in range(1, 8)
+    )
+    + " FROM lineitem JOIN (SELECT l_returnflag, count(*) AS t FROM lineitem GROUP BY ALL) USING (l_returnflag)"
+    + " GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag))",
+)
+sql(
+    "adorn_chosen_column",
+    "",
+    f"""SELECT o_orderstatus, year(o_orderdate) AS year, {SHARE_TEXT.format(d=1, s='10', x='count(*) / any_value(t)')} AS proportion
+FROM orders CROSS JOIN (SELECT count(*) AS t FROM orders) GROUP BY o_orderstatus, year(o_orderdate)""",
+)
 sql(
     "adorn_any_frame",
     """frame AS (

@@ -464,6 +464,12 @@ def strict_vs_lenient_aggs(spark, sf):
     )
 
 
+@query
+def group_median(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100))
+    return quantiles.group_median(lines, ["l_returnflag"], "cents")
+
+
 @query
 def n_distinct_null(spark, sf):
     return samples.charges_raw(spark, sf).groupBy("person").agg(agg.n_distinct("code").alias("n_codes"))
@@ -602,6 +608,27 @@ def adorn_full_chain(spark, sf):
     return tab.adorn_pct_formatting(1, "half up").adorn_ns().adorn_title("combined", "Status", "Priority").wide(PRIORITIES)
 
 
+@query
+def adorn_one_way(spark, sf):
+    tab = tabulate.tabyl_one(with_labels(spark, sf), "lang").drop("valid_percent")
+    return adorn.adorn_pct_formatting(adorn.adorn_totals(tab, "row"), 1, "half up", cols=["percent"])
+
+
+@query
+def adorn_three_way(spark, sf):
+    tab = tabulate.tabyl(table(spark, sf, "lineitem"), "l_linestatus", "l_linenumber", "l_returnflag")
+    tab = tab.adorn_totals("row").adorn_percentages("all").adorn_pct_formatting(1, "half up").adorn_ns().adorn_title()
+    return tab.wide(list(range(1, 8)))
+
+
+@query
+def adorn_chosen_column(spark, sf):
+    """Counts renamed and turned into column shares; other numbers stay."""
+    frame = table(spark, sf, "orders").groupBy("o_orderstatus", F.year("o_orderdate").alias("year")).count()
+    frame = frame.withColumnRenamed("count", "proportion")
+    return adorn.adorn_pct_formatting(adorn.adorn_percentages(frame, "col", cols=["proportion"]), 1, "half up", cols=["proportion"])
+
+
 @query
 def adorn_any_frame(spark, sf):
     """Totals on chosen columns of a frame that is not a tabulation."""

@@ -30,7 +30,9 @@ def sum_where(c: Column | str, cond: Column) -> Column:
 def median_weighted(c: Column | str, weight: Column | str) -> Column:
     """Exact median of values that each stand for ``weight`` rows.
 
-    Input collapsed to (value, count) gives the same answer as the raw rows.
+    Input collapsed to (value, count) gives the same answer as the raw rows. The
+    buffer holds each distinct value of a group once: right for day lengths and
+    plan figures; ``operators.quantiles.group_median`` takes any column.
     """
     return F.percentile(as_col(c), F.lit(0.5), as_col(weight))
 

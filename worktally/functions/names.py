@@ -95,11 +95,14 @@ def clean_name_list(
     for name in names:
         text = _styled(_words(name or "", replace or {}), case) or "x"
         cleaned.append(f"x{text}" if text[0].isdigit() else text)
-    if allow_dupes:
-        return cleaned
-    taken, out = set(cleaned), []
+    return cleaned if allow_dupes else unique_names(cleaned)
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """Repeated names numbered ``_2``, ``_3``, skipping numbers that are taken."""
+    taken, out = set(names), []
     used: dict[str, int] = {}
-    for text in cleaned:
+    for text in names:
         used[text] = used.get(text, 0) + 1
         unique = text
         if used[text] > 1:

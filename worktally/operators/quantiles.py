@@ -8,6 +8,8 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worktally.operators.joins import join_null_safe
+
 # Rank error of one narrowing pass; each pass keeps about four times this share.
 NARROWING_ERROR = 1e-4
 # Distinct values one ordered pass may see.
@@ -73,6 +75,31 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[flo
     return out
 
 
+def group_median(df: DataFrame, by: Sequence[str], value: str, into: str = "median") -> DataFrame:
+    """Exact median of each group, for groups of any size and any values.
+
+    The built-in exact percentile keeps all distinct values of a group in one
+    buffer. Here approximate percentiles with bounded rank error enclose the
+    median of each group, values outside are only counted, and the few inside
+    are ordered. Groups without values have no row.
+    """
+    x = F.col(value).cast("double").alias("__x")
+    present = df.select(*by, x).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    margin = 2 * NARROWING_ERROR
+    ends = F.percentile_approx("__x", [0.5 - margin, 0.5 + margin], int(1 / NARROWING_ERROR))
+    brackets = present.groupBy(*by).agg(ends.alias("__ends"), F.count(F.lit(1)).alias("__total"))
+    counts = present.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    placed = join_null_safe(counts, brackets, by)
+    lo, hi = F.col("__ends")[0], F.col("__ends")[1]
+    below = placed.groupBy(*by).agg(F.sum(F.when(F.col("__x") < lo, F.col("__n")).otherwise(0)).alias("__below"))
+    inside = join_null_safe(placed.filter(F.col("__x").between(lo, hi)), below, by)
+    upto = Window.partitionBy(*by).orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("__upto", F.col("__below") + F.sum("__n").over(upto))
+    lower = F.min(F.when(F.col("__upto") > F.floor((F.col("__total") - 1) / 2), F.col("__x")))
+    upper = F.min(F.when(F.col("__upto") > F.floor(F.col("__total") / 2), F.col("__x")))
+    return ranked.groupBy(*by).agg(((lower + upper) / 2).alias(into))
+
+
 def bin_label(lower: float, upper: float, digits: int = 3) -> str:
     return f"({lower:.{digits}g},{upper:.{digits}g}]"
 

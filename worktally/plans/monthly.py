@@ -20,6 +20,7 @@ from worktally.functions.scalars import (
     round_half_even,
 )
 from worktally.operators.joins import attach_group, join_null_safe
+from worktally.operators.quantiles import group_median
 from worktally.operators.ranking import first_appearance_rank, share_scaling
 from worktally.operators.reshape import complete, gather
 from worktally.plans.charges import with_counts
@@ -161,7 +162,10 @@ def monthly_budget_flat(
     """
     plan = share_scaling(projects, "budgeted", FLAT_TARGET, by, "budgeted", ~in_set("project", npt))
     plan = plan.withColumn("budgeted", clamp_zero("budgeted", keep_missing=True))
-    per_project = plan.groupBy(*by, "project").agg(F.median("budgeted").alias("monthbudget"), F.count(F.lit(1)).alias("__plans"))
+    plan = stored(plan, "plan")
+    per_project = plan.groupBy(*by, "project").agg(F.count(F.lit(1)).alias("__plans"))
+    budgets = group_median(plan, [*by, "project"], "budgeted", "monthbudget")
+    per_project = join_null_safe(per_project, budgets, [*by, "project"], "left")
     date = remap_month("date", *moved) if moved else F.col("date")
     hours = (
         with_counts(charges)

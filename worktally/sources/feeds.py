@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from worktally.functions.names import clean_names, clean_text
+from worktally.functions.names import clean_name_list, clean_names, unique_names
 from worktally.operators.joins import join_null_safe
 
 FIND_HEADER = "find_header"
@@ -66,16 +66,6 @@ def find_header(lines: DataFrame, value: str | None = None, column: int = 1) ->
     return found.select("feed", F.col("pos").alias("header_row"), F.col("cells").alias("names"))
 
 
-def _unique(names: Column) -> Column:
-    """Repeated names numbered ``_2``, ``_3`` in order."""
-
-    def numbered(name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda other: other == name))
-        return F.when(seen > 1, F.concat(name, F.lit("_"), seen.cast("string"))).otherwise(name)
-
-    return F.transform(names, numbered)
-
-
 def header_to_names(
     lines: DataFrame,
     row: int | str = FIND_HEADER,
@@ -86,23 +76,25 @@ def header_to_names(
     """Raise one row of each feed to be its column names.
 
     Feeds may list their columns in different order: cells are picked by name
-    and the result has every name found. The driver sees the names only.
+    and the result has every name found. The driver sees the distinct header
+    rows only.
     """
     if row == FIND_HEADER:
         headers = find_header(lines)
     else:
         headers = lines.filter(F.col("pos") == row).select("feed", F.col("pos").alias("header_row"), F.col("cells").alias("names"))
-    names = F.transform("names", lambda n: clean_text(n) if clean else F.coalesce(n, F.lit("x")))
-    headers = headers.withColumn("names", names).withColumn("names", _unique(F.col("names")))
-    found = headers.select(F.posexplode("names")).groupBy("col").agg(F.min("pos").alias("at")).orderBy("at", "col")
-    columns = [r["col"] for r in found.collect()]
+    layouts = [r["names"] for r in headers.select("names").distinct().collect()]
+    named = [(given, clean_name_list(given) if clean else unique_names([n or "x" for n in given])) for given in layouts]
+    columns = list(dict.fromkeys(c for _, columns in sorted(named, key=lambda pair: pair[1]) for c in columns))
+    spelling = lines.sparkSession.createDataFrame(named, "names array<string>, __columns array<string>")
+    headers = join_null_safe(headers, spelling, ["names"])
     rows = join_null_safe(lines, headers, ["feed"], "inner")
     if remove_row:
         rows = rows.filter(F.col("pos") != F.col("header_row"))
     if remove_rows_above:
         rows = rows.filter(F.col("pos") >= F.col("header_row"))
     # Short rows read as missing at the end.
-    by_name = F.map_from_arrays("names", F.transform("names", lambda _, i: F.get("cells", i)))
+    by_name = F.map_from_arrays("__columns", F.transform("__columns", lambda _, i: F.get("cells", i)))
     rows = rows.withColumn("__named", by_name)
     return rows.select("feed", "pos", *[F.try_element_at("__named", F.lit(c)).alias(c) for c in columns])
 
