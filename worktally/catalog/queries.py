@@ -22,7 +22,7 @@ from worktally.plans import charges as ch
 from worktally.plans import monthly as mo
 from worktally.plans import timesheet as ts
 from worktally.plans import weekly as wk
-from worktally.session import shared_dir
+from worktally.session import shared_dir, stored
 from worktally.sources import audit, feeds, samples
 from worktally.sources.samples import ADMIN, CHOSEN_PROJECT, DONE, NON_PROJECT, table
 
@@ -261,7 +261,7 @@ def gather_long(spark, sf):
 @query
 def complete_project_month(spark, sf):
     charges = ch.charge_ledger(samples.charges_raw(spark, sf), ["person"])
-    sums = charges.groupBy("person", "project", "month").agg(F.sum("hours").alias("hours"))
+    sums = stored(charges.groupBy("person", "project", "month").agg(F.sum("hours").alias("hours")), "sums")
     return reshape.complete(sums, "project", "month", ["person"], {"hours": 0.0})
 
 

@@ -23,12 +23,20 @@ def cumsum_strict(c: str, window) -> Column:
     return F.when(F.count(F.col(c)).over(window) == F.count(F.lit(1)).over(window), F.sum(c).over(window))
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], into: str = "seq", pieces: int = 1024) -> DataFrame:
+def numbered(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    into: str = "seq",
+    pieces: int = 1024,
+    steps: Sequence[str] = (),
+) -> DataFrame:
     """Row number inside each group, safe for groups of any size.
 
     The leading order column (number, date or timestamp) is cut into equal
     ranges. Rows are numbered inside (group, range) and each range starts after
     the row counts of the earlier ones, so a hot group is shared by many tasks.
+    ``steps`` are columns of few values that order the rows before ``order``.
     """
     kind = df.schema[order[0]].dataType
     if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -46,9 +54,10 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], into: str =
         F.coalesce(F.width_bucket(axis, lo, hi, F.lit(pieces)), F.lit(0)).cast("int")
     )
     cut = df.withColumn("__piece", piece)
-    keys = [*by, "__piece"]
+    keys = [*by, *steps, "__piece"]
     counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = [*[F.col(c).asc_nulls_last() for c in steps], F.col("__piece")]
+    earlier = Window.partitionBy(*by).orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__start", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))).drop("__rows")
     inside = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     placed = join_null_safe(cut.withColumn("__at", F.row_number().over(inside)), starts, keys, "left")
@@ -62,11 +71,9 @@ def first_appearance_rank(
 
     One row per item is ranked, not the data. Missing weights come last.
     """
-    firsts = df.groupBy(*by, item).agg(
-        F.min(F.struct(F.col(axis).alias("at"), F.col(weight).isNull().alias("none"), (-F.col(weight)).alias("down"))).alias("__first")
-    )
-    order = Window.partitionBy(*by).orderBy("__first", F.col(item).asc_nulls_last())
-    return firsts.select(*by, item, F.row_number().over(order).cast("bigint").alias(into))
+    place = F.struct(F.col(axis).alias("at"), F.col(weight).isNull().alias("none"), (-F.col(weight).cast("double")).alias("down"))
+    firsts = df.groupBy(*by, item).agg(F.min(place).alias("__first")).select(*by, item, "__first.*")
+    return numbered(firsts, by, ["down", item], into, steps=["at", "none"]).select(*by, item, into)
 
 
 def share_scaling(df: DataFrame, value: str, target: Column | float, by: Sequence[str], into: str, cond: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktally.functions.scalars import fiscal_year, later_of
+from worktally.session import stored
 
 # Roles the test tables' values play in the pipelines.
 NON_PROJECT = ("ECONOMY", "LARGE", "PROMO")
@@ -40,7 +41,10 @@ def charges_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan sheet per fiscal year, project and subproject with open ends and gaps."""
+    """Plan sheet per fiscal year, project and subproject with open ends and gaps.
+
+    Stored once, as a plan sheet is a feed of its own.
+    """
     entries = charges_raw(spark, sf_dir).filter(F.col("hours").isNotNull())
     entries = entries.withColumn("date", later_of("date", "period"))
     keys = [fiscal_year("date").alias("year"), F.col("project"), F.col("subproject")]
@@ -54,7 +58,7 @@ def plan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("n").alias("n"),
     )
     sub = F.col("subproject")
-    return plan.select(
+    plan = plan.select(
         "year",
         "project",
         "subproject",
@@ -65,3 +69,4 @@ def plan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sub != "Brand#3", F.col("n") / 4.0).alias("budgeted"),
         F.lit(119.0).alias("profile"),
     )
+    return stored(plan, "plan_feed")
