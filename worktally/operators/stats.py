@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -50,6 +51,8 @@ def chisq_stat(table: Tabulation, correct: bool = True) -> DataFrame:
     contribute nothing, so the full grid is never built. A 2x2 table gets the
     continuity correction unless switched off.
     """
+    if table.totals:
+        warnings.warn("totals do not take part in the test", stacklevel=2)
     counts = table.counts().filter(F.col("n") > 0).select(F.col(table.row).alias("a"), F.col(table.col).alias("b"), "n")
     counts = counts.na.drop(subset=["a", "b"]).groupBy("a", "b").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("a").agg(F.sum("n").alias("r"))
