@@ -115,3 +115,19 @@ def test_audit_counts_values_that_do_not_fit(three, rows):
     assert got[("df3", "b")] == ("string", "bigint", 1, 0)
     assert got[("df1", "c")] == (None, "double", 0, 0)
     assert audit.audit_feeds({k: three[k] for k in ("df1", "df3")}, "mismatch").count() == 0
+
+
+class _Session:
+    """Just the two settings the shared folder depends on."""
+
+    def __init__(self, master, folder):
+        self.sparkContext = type("Context", (), {"master": master})()
+        self.conf = type("Conf", (), {"get": lambda _, key, default=None: folder})()
+
+
+def test_shared_folder():
+    assert shared_dir(_Session("yarn", "hdfs://shared/ckpt/")) == "hdfs://shared/ckpt"
+    scratch = shared_dir(_Session("local[4]", None))
+    assert scratch == shared_dir(_Session("local[4]", "")) and "worktally-" in scratch
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://host:7077", None))

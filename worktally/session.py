@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+@cache
+def _scratch_dir() -> str:
+    return tempfile.mkdtemp(prefix="worktally-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, as named by ``spark.checkpoint.dir``.
 
@@ -33,14 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     its own; on a cluster a missing setting is an error, because a folder on
     one machine would not survive the loss of that machine.
     """
-    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can read")
-    folder = tempfile.mkdtemp(prefix="worktally-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return _scratch_dir()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
