@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from worktally.llm import langid, mixing, quality, shards, simhash, url_rules
+from worktally.llm import langid, mixing, quality, shards, simhash, topk, url_rules, vector_copies
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_shards": shards.op2_shards,
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_langid": langid.op4_langid,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op9_vector_copies": vector_copies.op9_vector_copies,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES = {"op3_url_rules": url_rules.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+ORACLES = {"op1_topk": topk.OP1_SQL, "op3_url_rules": url_rules.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
