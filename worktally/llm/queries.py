@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from worktally.llm import langid, mixing, quality, shards, simhash, topk, url_rules, vector_copies
+from worktally.llm import bpe, langid, mixing, quality, repeats, shards, simhash, topk, url_rules, vector_copies
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_shards": shards.op2_shards,
     "op3_url_rules": url_rules.op3_url_rules,
     "op4_langid": langid.op4_langid,
+    "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_repeats": repeats.op8_repeats,
     "op9_vector_copies": vector_copies.op9_vector_copies,
     "op10_quality": quality.op10_quality,
 }
