@@ -167,16 +167,17 @@ def without_near_copies(docs: DataFrame, length: int = SHINGLE, distance: int =
     """
     groups = stored(simhash_groups(docs, length, distance), "simhash-groups")
     heads = groups.filter("doc_id = component_id").groupBy("doc_id").count()
-    heads = stored(heads.select(F.col("doc_id").alias("__head"), "count"), "simhash-heads")
+    heads = stored(heads.select(F.col("doc_id").alias("__head"), F.col("count").alias("__times")), "simhash-heads")
     kept = docs.join(heads, docs["doc_id"] == heads["__head"])
-    if heads.filter("count > 1").limit(1).count():
-        once = kept.filter("count > 1").dropDuplicates(["__head"])
-        kept = kept.filter("count = 1").unionByName(once)
-    kept = kept.drop("__head", "count")
-    if groups.filter("doc_id is null").limit(1).count():
-        lost = groups.filter("doc_id is null and component_id is null").limit(1).count()
-        if lost:
-            kept = kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    if heads.filter("__times > 1").limit(1).count():
+        once = kept.filter("__times > 1").dropDuplicates(["__head"])
+        kept = kept.filter("__times = 1").unionByName(once)
+    kept = kept.drop("__head", "__times")
+    nameless = groups.filter("component_id is null").select(F.col("fingerprint").alias("__print")).distinct()
+    if nameless.limit(1).count():
+        named = with_fingerprint(docs.filter("doc_id is null"), "text", "__long", length)
+        named = named.join(nameless, F.lower(F.lpad(F.hex("__long"), 16, "0")) == F.col("__print"), "left_semi")
+        kept = kept.unionByName(named.drop("__long").dropDuplicates(["text"]))
     return kept
 
 
