@@ -34,8 +34,8 @@ from worktally.llm.common import column, mixed, pieces, powers, prefix_sums, sto
 
 LENGTH = 200
 GRAM = 40
-GROUP = 256
-CHUNK = 2_000_000
+GROUP = 16_384
+CHUNK = 400_000
 HOT_SHARE = 4_096
 
 
@@ -268,7 +268,7 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     long_ = rows.filter(F.octet_length("text") >= length)
     n = long_.count()
     hot = long_.groupBy("t1", "t2").count().filter(F.col("count") > max(16, n // HOT_SHARE)).select("t1", "t2")
-    hot = F.broadcast(stored(hot, "repeats-hot").withColumnsRenamed({"t1": "hot1", "t2": "hot2"}))
+    hot = F.broadcast(stored(hot, "repeats-hot").withColumnsRenamed({"t1": "__hot1", "t2": "__hot2"}))
 
     scanned = long_.mapInArrow(_scan(length, gram), SCANNED)
     grams = scanned.groupBy("gram").count().filter("count > 1").select(F.col("gram").alias("again"))
@@ -285,14 +285,14 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     told = stored(seen.groupBy("t1", "t2").agg(F.collect_set("ask").alias("asks"), F.collect_set("span").alias("sure")), "repeats-told")
     told = told.withColumnsRenamed({"t1": "k1", "t2": "k2"})
 
-    marked = docs.join(hot, (F.col("__t1") == F.col("hot1")) & (F.col("__t2") == F.col("hot2")), "left")
-    settled = marked.filter("hot1 is not null").drop("hot1", "hot2")
+    marked = docs.join(hot, (F.col("__t1") == F.col("__hot1")) & (F.col("__t2") == F.col("__hot2")), "left")
+    settled = marked.filter("__hot1 is not null").drop("__hot1", "__hot2")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length(column(docs, text)).alias("end")))
     settled = settled.withColumn(name, whole).drop("__t1", "__t2")
 
     # Both uses of ``open_`` read one shuffle of the texts, so they must ask for the same columns.
     names = {f"__d{i}": c for i, c in enumerate(docs.columns) if c not in ("__t1", "__t2")}
-    packed = marked.filter("hot1 is null").select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), content.alias("text"), *[column(docs, c).alias(k) for k, c in names.items()])
+    packed = marked.filter("__hot1 is null").select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), content.alias("text"), *[column(docs, c).alias(k) for k, c in names.items()])
     open_ = packed.join(told, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")), "left").drop("k1", "k2")
     near = open_.mapInArrow(_cut(length, False), CUT).repartition("gram").sortWithinPartitions("gram").mapInArrow(_solve(length), "t1 long, t2 long, start int, end int")
     windows = open_.mapInArrow(_cut(length, True), CUT).select("t1", "t2", "first", "w1", "w2")
