@@ -1,0 +1,332 @@
+"""Operators of the training-data pipeline against brute force, round trips and planted cases."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from worktally.llm import bpe, langid, mixing, quality, repeats, shards, simhash, topk, url_rules, vector_copies
+from worktally.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ly", "ed"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with missing values, empty and long texts, ties, repeated rows, and columns that clash."""
+    rng = random.Random(5)
+    long_ = prose(rng, 4000)
+    rows = [(None, None, None, None, "x"), (1, "", "en", "a", None), (2, " \t\n", None, None, "q"), (3, long_, "en", "b", "z"), (3, long_, "en", "b", "z"), (4, "x" * 5000, "de", "b", "y"), (5, long_[:900] + " étoile 🙂 " + long_[2000:2900], "en", "", "w"), (None, "one two three four", "fr", "a", "v"), (6, "one two three four", "fr", "a", "v")]
+    rows += [(10 + i, prose(rng, 80), ("en", "fr")[i % 2], "abc"[i % 3], "u") for i in range(12)]
+    return spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, size string, count int, `a.b` int, spans int")
+
+
+def empty(df):
+    return df.limit(0)
+
+
+# ---- 1 top-k
+
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 0.3, (300, 7)).round(2).astype(np.float32)
+    x[50:90] = x[49]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1050, []), (1100, [float("nan")] * 7), (1150, [None] * 7), (1200, [float("inf")] * 7), (1250, [1.0, 2.0]), (None, [0.5] * 7), (7, [0.25] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    q = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and all(e is not None and np.isfinite(e) for e in v)]
+    for i, a in q:
+        if i % 50 == 0:
+            want = sorted(((-int(a @ b), j) for j, b in q if j != i and len(b) == len(a)))[:5]
+            assert got[i] == [(j, -s) for s, j in want], i
+    assert set(got) <= {i for i, _ in q if i % 50 == 0}
+    assert topk.top_k(empty(df), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_bit_slices_add_up():
+    rng = np.random.default_rng(1)
+    values, query = rng.integers(-300, 300, (130, 9)), rng.integers(-300, 300, 9)
+    slices, least = topk.slices_of(values)
+    (found, score), = topk.search_block(np.arange(130), slices, least, np.array([-1]), query[None], 200)
+    assert sorted(found.tolist()) == list(range(130))
+    assert (score == values[found] @ query).all()
+
+
+# ---- 2 shards
+
+
+def test_shards(spark, odd):
+    rows = shards.shard_documents(odd, 4).collect()
+    assert len(rows) == odd.count()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert shards.shard_documents(empty(odd)).count() == 0
+
+
+def test_shards_are_even_and_keep_groups(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = shards.shard_documents(docs).toPandas().merge(docs.select("doc_id", "text").toPandas())
+    assert (rows.groupby("text").shard.nunique() == 1).all()
+    sizes = rows.groupby("shard")["size"].sum()
+    assert len(sizes) == 16 and sizes.max() <= max(1.02 * sizes.mean(), rows["size"].max())
+
+
+def test_hot_group_is_cut(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id") + 10000)).alias("text"))
+    sizes = [r["b"] for r in shards.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_best_fit_is_tight():
+    rng = random.Random(2)
+    sizes = sorted((rng.randint(1, 60) for _ in range(500)), reverse=True)
+    bins, n = shards.best_fit_decreasing(sizes, 100)
+    left = [100] * n
+    for size, b in zip(sizes, bins):
+        left[b] -= size
+        assert left[b] >= 0
+    plain, where = [], []
+    for size in sizes:  # by search through all bins
+        fit = min((r, i) for i, r in enumerate(plain) if r >= size) if any(r >= size for r in plain) else None
+        if fit is None:
+            plain.append(100 - size)
+            where.append(len(plain) - 1)
+        else:
+            plain[fit[1]] -= size
+            where.append(fit[1])
+    assert where == bins
+
+
+# ---- 3 URL rules
+
+
+def test_url_rules_by_trie_and_by_join(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?q#f", "http://example.org/es", "http://example.org/en/103", "http://x.example.org/en/2", "http://org", "http://badorg/x", "https://a.b.com/de/?x", "x://com/fr/://y", "http://e.com#/de/", "http://com/d", "http://é.com/de/ü", "http://example.org:80/es/"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    trie = url_rules.judge_urls(pages, url_rules.QUERY_RULES).orderBy("page_id").collect()
+    joined = url_rules.judge_urls(pages, url_rules.QUERY_RULES, broadcast_rules=0).select(*trie[0].asDict()).orderBy("page_id").collect()
+    assert trie == joined
+    for r in trie:
+        m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)", r["url"] or "")
+        host, path = (m[2].translate(str.maketrans(url_rules.UPPER, url_rules.LOWER)), m[3]) if m else ("", "")
+        fit = max(((h.count("."), len(p), h + p, v) for v, h, p in url_rules.QUERY_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, 0, None, "allow"))
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, fit[2], fit[3])
+    assert url_rules.judge_urls(empty(pages), []).count() == 0
+
+
+# ---- 4 language
+
+
+def test_langid_on_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.op4_langid(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 40 and sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.95
+
+
+def test_langid_odd_rows(spark, odd):
+    filters = langid.train(odd, F.lit(True))
+    rows = {r["text"]: r for r in langid.predict(odd, filters).collect()}
+    assert rows[None]["lang_pred"] == rows[""]["lang_pred"] == "und" and rows[""]["score"] == 0
+    assert all(0 <= r["score"] <= 1 for r in rows.values())
+    none = langid.train(empty(odd), F.lit(True))
+    assert {r["lang_pred"] for r in langid.predict(odd, none).collect()} == {"und"}
+
+
+# ---- 5 BPE
+
+
+def test_bpe_equals_the_library(spark, odd):
+    pieces = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
+    rng = random.Random(3)
+    texts = ["", None, "don't we'll  \n\n end  ", "a\x85b \xa0\xa0c\x1c \u3000x", "日本語 テキスト", "🙂é" * 90, "z" * 129 + " " + "ab" * 900]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(0x3000), rng.randrange(0x1F000, 0x1FA00)])) for _ in range(300)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    ranks = bpe.Ranks(pieces)
+    for words in (bpe.WORDS, 3):
+        for r in bpe.encode(docs, ranks, words=words).withColumn("back", ranks.decoded(F.col("ids"))).collect():
+            assert list(r["ids"]) == library.encode_ordinary(r["text"] or "")
+            assert bytes(r["back"]) == (r["text"] or "").encode()
+    assert bpe.encoded_digests(odd).count() == odd.count()
+    assert bpe.encoded_digests(empty(odd)).count() == 0
+
+
+# ---- 6 mixing
+
+
+def test_mixing_meets_targets(spark, odd):
+    rows = mixing.op6_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
+    by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), top=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.top / 2 + 1).all()
+    assert (by.target <= 3 * by["size"] + 1e-6).all() and (rows.taken <= 3 * rows["size"]).all()
+    assert abs(by.target.sum() - by["size"].sum()) < 1e-3
+    mixed = mixing.mixed_documents(odd)
+    assert mixed.columns == odd.columns and mixing.mixed_documents(empty(odd)).count() == 0
+    sized, plan = mixing.mix(odd)
+    taken = mixing.of_source(sized, plan).select((F.col("size") * mixing.copies(F.col("doc_id"), "mix")).alias("t")).agg(F.sum("t")).first()[0]
+    assert taken == mixed.select(mixing.words(F.col("text")).alias("w")).agg(F.sum("w")).first()[0]
+
+
+# ---- 7 SimHash
+
+
+def fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_against_brute_force(spark, odd):
+    rng = random.Random(4)
+    base = prose(rng, 300)
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, base.replace(rng.choice(WORDS), "swap", 1)) for i in range(40)], "doc_id long, text string"))
+    rows = simhash.simhash_groups(docs).collect()
+    texts = collections.Counter((r["doc_id"], f"{fingerprint(r['text']):016x}") for r in docs.collect())
+    assert texts == collections.Counter((r["doc_id"], r["fingerprint"]) for r in rows)
+    marks = sorted({int(r["fingerprint"], 16) for r in rows})
+    least = {m: min((r["doc_id"] for r in rows if int(r["fingerprint"], 16) == m and r["doc_id"] is not None), default=None) for m in marks}
+    seen = {m: m for m in marks}
+    for _ in marks:
+        for a in marks:
+            seen[a] = min(seen[b] for b in marks if bin(a ^ b).count("1") <= 3)
+    for r in rows:
+        mine = seen[int(r["fingerprint"], 16)]
+        assert r["component_id"] == min((least[m] for m in marks if seen[m] == mine and least[m] is not None), default=None)
+    assert simhash.simhash_groups(empty(odd)).count() == 0
+
+
+def test_blocks_of_a_crowded_key_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 5, dtype=np.uint64)
+    marks = np.unique([base[i % 5] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 3), replace=False))) for i in range(400)])
+    df = spark.createDataFrame([(int(m),) for m in marks.view(np.int64)], "print long")
+    small = {(r["node"], r["root"]) for r in components(simhash.near_links(df, block=8)).collect()}
+    large = {(r["node"], r["root"]) for r in components(simhash.near_links(df)).collect()}
+    assert small == large and len(small) > 200
+
+
+def test_one_document_of_each_group_stays(spark, odd):
+    kept = simhash.without_near_copies(odd)
+    assert kept.columns == odd.columns
+    prints = [fingerprint(r["text"]) for r in kept.collect()]
+    assert len(set(prints)) == len(prints) and {fingerprint(r["text"]) for r in odd.collect()} >= set(prints)
+
+
+# ---- 8 repeats
+
+
+def covered(texts, length):
+    raws = [(t or "").encode() for t in texts]
+    seen = collections.Counter(r[p : p + length] for r in raws for p in range(len(r) - length + 1))
+    for r in raws:
+        mark = bytearray(len(r))
+        for p in range(len(r) - length + 1):
+            if seen[r[p : p + length]] > 1:
+                mark[p : p + length] = b"\1" * length
+        yield r, mark
+
+
+@pytest.mark.parametrize("length,gram,group", [(200, 40, 16_384), (40, 12, 2), (40, 12, 16_384)])
+def test_repeats_against_brute_force(spark, odd, length, gram, group):
+    rng = random.Random(7)
+    passage = prose(rng, 45)
+    extra = [(200 + i, prose(rng, 30) + passage[i : 260 + 3 * i] + prose(rng, 30)) for i in range(30)] + [(300, "ab" * 400), (301, "é" * 300 + passage)]
+    docs = odd.select("doc_id", "text", "count", "`a.b`", F.col("spans").alias("old")).unionByName(spark.createDataFrame([(i, t, 0, 0, 0) for i, t in extra], "doc_id long, text string, count int, `a.b` int, old int"))
+    rows = repeats.with_repeats(docs, length, gram, group).collect()
+    assert len(rows) == docs.count()
+    for r, (raw, mark) in zip(rows, covered([r["text"] for r in rows], length)):
+        got = bytearray(len(raw))
+        for s in r["spans"]:
+            got[s["start"] : s["end"]] = b"\1" * (s["end"] - s["start"])
+        assert got == mark
+        assert len(r["spans"]) == len(re.findall(b"\1+", bytes(mark)))
+
+
+def test_cutting_keeps_rows_and_columns(spark, odd):
+    cut = repeats.without_repeats(odd)
+    assert cut.columns == odd.columns and cut.count() == odd.count()
+    assert repeats.without_repeats(empty(odd)).count() == 0
+
+
+def test_maximal_repeats_have_all_occurrences():
+    contexts = [(b"xxABCDEFyy", 4), (b"zzABCDEFyy", 4), (b"qqABCDEFww", 4), (b"nothing at all", 3)]
+    found = {(a, b, tuple(sorted(m.tolist()))) for a, b, m in repeats.maximal_repeats(contexts, 6)}
+    assert found == {(2, 4, (0, 1, 2)), (2, 6, (0, 1))}
+
+
+# ---- 9 vectors
+
+
+def test_vector_groups_recall(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16))
+    x[100:400] = x[rng.integers(0, 60, 300)] + rng.normal(0, 0.08, (300, 16))
+    x[400:500] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0, 0.0]), (2004, [2.0, 0.0]), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in vector_copies.vector_groups(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    true = near.sum(1) - 1
+    found = np.array([got[i]["n_links"] for i in range(900)])
+    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (2000, 2001, 2002))
+    assert got[2003]["component_id"] == got[2004]["component_id"] == 2003
+    assert vector_copies.vector_groups(empty(df)).count() == 0
+
+
+# ---- 10 quality
+
+
+def test_quality_separates_planted_grades(spark, odd):
+    rng = random.Random(9)
+    texts = [prose(rng, 60) + (" vile" * 2 + " rotten" if i % 5 == 1 else "") if i % 5 != 2 else prose(rng, 60).upper().replace(" ", "!! ") for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 2), int(i % 5 == 1)) for i in range(0, 600, 2)] + [(None, 1, 1), (1, None, 0)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.select_documents(docs, labels).collect()}
+    clean = {i for i in range(600) if i % 5 not in (1, 2)}
+    assert len(kept & clean) >= 0.98 * len(clean) and len(kept - clean) <= 0.02 * 600
+    model = quality.train(docs, labels)
+    assert model.thresholds[0] < model.thresholds[1]
+    assert quality.rate(odd, model).count() == odd.count()
+    assert quality.select_documents(empty(odd), labels.limit(0)).count() == 0
+    assert quality.select_documents(odd, labels.limit(0)).count() == odd.count()
+
+
+# ---- pipeline
+
+
+def test_pipeline_runs_and_keeps_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+    before = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, before, SF)
+        assert after.columns == docs.columns and 0 < after.count() <= before.count()
+        before = after
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert out and all(r["n_tokens"] >= 0 for r in out)
+    digest = hashlib.sha256(b"").hexdigest()
+    assert all((r["n_tokens"] == 0) == (r["ids_sha256"] == digest) for r in out)
+    assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"

@@ -137,7 +137,7 @@ def maximal_repeats(contexts: list[tuple[bytes, int]], length: int = LENGTH) ->
             continue
         by_left, left_common = sorted_common([before[order[r]] for r in ranks])
         left_classes = intervals(left_common, max(need, 1))
-        if need <= 0:
+        if need <= 0 and not left_common.min():  # the bytes before the anchors are diverse
             left_classes.append((0, 0, len(ranks) - 1))
         for extent, a, b in left_classes:
             members = np.array(ranks)[by_left[a : b + 1]]
@@ -303,7 +303,7 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     result = open_.join(found, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")), "left")
     result = result.withColumn("__spans", F.arrow_udf(_merge, "array<struct<start:int,end:int>>")(F.concat(F.coalesce("sure", none), F.coalesce("more", none))))
     result = result.select(*[F.col(k).alias(c) for k, c in names.items() if c != name], F.col("__spans").alias(name))
-    return result.unionByName(settled.select(*result.columns))
+    return result.unionByName(settled.select(*[column(settled, c) for c in result.columns]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -318,7 +318,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     cut = with_repeats(docs, length, name="__spans")
     text = F.when(F.size("__spans") > 0, as_text(kept_bytes("text", "__spans"))).otherwise(F.col("text"))
-    return cut.withColumn("text", text).select(*docs.columns)
+    cut = cut.withColumn("text", text)
+    return cut.select(*[column(cut, c) for c in docs.columns])
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def add_slices(columns: list[list[np.ndarray]], words: int) -> list[np.ndarray]:
     """Sum of bitmaps by weight: columns[w] has bitmaps [n, word] worth 2**w each; result slice w is worth 2**w."""
     out, w = [], 0
     while w < len(columns):
-        stack = np.concatenate(columns[w]) if columns[w] else np.zeros((1, words), np.uint64)
+        stack = np.concatenate([np.zeros((0, words), np.uint64), *columns[w]])
         if len(stack) > 1 and w + 1 == len(columns):
             columns.append([])
         while len(stack) > 2:
@@ -61,7 +61,7 @@ def add_slices(columns: list[list[np.ndarray]], words: int) -> list[np.ndarray]:
         if len(stack) == 2:
             columns[w + 1].append((stack[0] & stack[1])[None])
             stack = (stack[0] ^ stack[1])[None]
-        out.append(stack[0])
+        out.append(stack[0] if len(stack) else np.zeros(words, np.uint64))
         w += 1
     return out
 
