@@ -21,7 +21,7 @@ HEADLINES = [
     "prepare_charges",
     "weekly_cumulative",
     "weekly_cumulative_by_person",
-    "timesheet_v7",
+    "week_table_v7",
     "monthly_v7",
     "monthly_by_person",
     "monthly_budget_v6",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worktally.plans import charges as ch
 from worktally.plans import monthly as mo
-from worktally.plans import timesheet as ts
+from worktally.plans import week_table as ts
 from worktally.plans import weekly as wk
 
 M = dt.date(2024, 5, 20)  # a Monday
@@ -99,7 +99,7 @@ def test_ledger_and_entries_agree(spark, rows, mixed):
     for by in ([], ["person"]):
         fine, ledger = ch.prepare_charges(mixed, by)[0], ch.charge_ledger(mixed, by)
         assert rows(wk.weekly_balance(fine, by=by)) == rows(wk.weekly_balance(ledger, by=by))
-        assert rows(ts.timesheet(fine, str(M), by)) == rows(ts.timesheet(ledger, str(M), by))
+        assert rows(ts.week_table(fine, str(M), by)) == rows(ts.week_table(ledger, str(M), by))
         assert rows(mo.monthly(ch.combine(fine, by), by)) == rows(mo.monthly(ch.combine(ledger, by), by))
 
 
@@ -116,17 +116,17 @@ def test_combine_equals_the_plain_validity_join(spark, rows, mixed):
         assert combined.filter("length IS NULL AND hours = 0").count() > 0
 
 
-def test_blank_weeks_do_not_change_the_timesheet(spark, rows, mixed):
+def test_blank_weeks_do_not_change_the_week_table(spark, rows, mixed):
     charges = ch.charge_ledger(mixed)
     done = str(day(28))
-    with_blanks, without = ts.timesheet(ch.combine(charges), done), ts.timesheet(charges, done)
+    with_blanks, without = ts.week_table(ch.combine(charges), done), ts.week_table(charges, done)
     assert rows(with_blanks) == rows(without)
     total = without.agg(F.sum("Total")).first()[0]
     cells = charges.filter(F.col("period") > done).groupBy("period", "date", "project", "code").agg(F.sum("hours").alias("h"))
     assert total == cells.filter("h > 0").agg(F.sum("h")).first()[0]
 
 
-def test_timesheet_cells_and_totals(spark, rows):
+def test_week_table_cells_and_totals(spark, rows):
     raw = simple(
         spark,
         (0, 0, "a", "c", 9.0),
@@ -136,7 +136,7 @@ def test_timesheet_cells_and_totals(spark, rows):
         (1, 13, "Admin", "d", 4.0),
         (1, 9, "b", "e", 0.0),
     )
-    got = ts.timesheet(ch.type_charges(raw), str(M))
+    got = ts.week_table(ch.type_charges(raw), str(M))
     assert rows(got) == [
         (day(7), "Admin", "d", None, None, None, None, None, None, 4.0, 4.0, 3.0, 7.0),
         (day(7), "a", "c", 3.0, None, None, None, None, None, None, 3.0, 3.0, 7.0),

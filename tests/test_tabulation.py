@@ -68,12 +68,12 @@ def test_shares_sum_to_one(pairs, denominator):
 def test_text_cells(pairs, rows):
     tab = tabulate.tabyl(pairs, "r", "c").adorn_totals("col").adorn_percentages("row")
     text = tab.adorn_pct_formatting(1, "half up").adorn_ns().adorn_title("combined", "Row", "Col").wide(levels=["a", "b"])
-    assert text.columns == ["Row/Col", "a", "b", "Total"]
-    assert ("x", "66.7% (2)", "33.3% (1)", "100.0% (3)") in rows(text)
+    assert text.columns == ["Row/Col", "a", "b", "emptystring_", "NA_", "Total"]
+    assert ("x", "66.7% (2)", "33.3% (1)", "100.0% (3)") in rows(text, "Row/Col", "a", "b", "Total")
     front = tab.adorn_pct_formatting(0, affix=False).adorn_ns("front").wide(levels=["a"])
-    assert ("x", "2 (67)", "3 (100)") in rows(front)
+    assert ("x", "2 (67)", "3 (100)") in rows(front, "r", "a", "Total")
     ns = pairs.select("r", "c").distinct().withColumn("n", F.lit(1234))
-    assert ("x", "66.7% (1,234)") in rows(tabulate.tabyl(pairs, "r", "c").adorn_percentages().adorn_pct_formatting().adorn_ns(ns=ns).wide(["a"]))
+    assert ("x", "66.7% (1,234)") in rows(tabulate.tabyl(pairs, "r", "c").adorn_percentages().adorn_pct_formatting().adorn_ns(ns=ns).wide(["a"]), "r", "a")
 
 
 def test_three_way_keeps_the_split_a_key(spark, rows):

@@ -223,7 +223,7 @@ sql(
 FROM (SELECT *, CASE WHEN count(weekhours) OVER (PARTITION BY person ORDER BY period) = i THEN cumhours END AS strict FROM numbered)""",
 )
 
-# ------------------------------------------------------------------- timesheets
+# ------------------------------------------------------------------- week tables
 
 
 def _sheet(ids: str, cell: str, source: str = "combined", by: str = "period", where: str = f"period > {DONE}") -> str:
@@ -245,23 +245,23 @@ sheet AS (
 POSITIVE = "CASE WHEN sum(hours) > 0 THEN sum(hours) END"
 DAY_COLS = ", ".join(f'"{d}"' for d in WEEKDAYS)
 sql(
-    "timesheet_v7",
+    "week_table_v7",
     combined() + "," + _sheet("period, project, code", POSITIVE),
     f'SELECT {TEXT_WEEK}, project, code, {DAY_COLS}, "Total", "Sheet", "Week" FROM sheet WHERE "Total" > 0',
 )
 sql(
-    "timesheet_by_person",
+    "week_table_by_person",
     combined("person") + "," + _sheet("person, period, project, code", POSITIVE, by="person, period"),
     f'SELECT person, {TEXT_WEEK}, project, code, {DAY_COLS}, "Total", "Sheet", "Week" FROM sheet WHERE "Total" > 0',
 )
 sql(
-    "timesheet_v4",
+    "week_table_v4",
     plan_combined(True) + "," + _sheet("period, project, subproject, code, subcode", POSITIVE),
     f'SELECT {TEXT_WEEK}, project, subproject, code, subcode, {DAY_COLS}, "Total", "Week" FROM sheet WHERE "Total" > 0',
 )
 STRICT = "CASE WHEN count(hours) = count(*) THEN sum(hours) END"
 sql(
-    "timesheet_v1",
+    "week_table_v1",
     TYPED_ALL + "," + PLAN_TYPED + """,
 coded AS (
   SELECT t.* EXCLUDE (code), p.code, p.subcode FROM typed t
@@ -270,7 +270,7 @@ coded AS (
     f'SELECT {TEXT_WEEK}, project, {DAY_COLS}, "Total", "Week" FROM sheet WHERE period > {DONE}',
 )
 sql(
-    "timesheet_printable",
+    "week_table_printable",
     combined() + "," + _sheet("period, project, code", POSITIVE),
     f"""SELECT {TEXT_WEEK}, project, code, {', '.join(f'''coalesce(printf('%.1f', "{c}"), ' - ') AS "{c}"''' for c in ('Mon', 'Sun', 'Total'))}
 FROM sheet WHERE "Total" > 0""",

@@ -20,7 +20,7 @@ from worktally.operators import adorn, cleaning, joins, quantiles, ranking, resh
 from worktally.operators.fill import fill_down
 from worktally.plans import charges as ch
 from worktally.plans import monthly as mo
-from worktally.plans import timesheet as ts
+from worktally.plans import week_table as ts
 from worktally.plans import weekly as wk
 from worktally.session import shared_dir, stored
 from worktally.sources import audit, feeds, samples
@@ -197,34 +197,34 @@ def weekly_strict_missing(spark, sf):
     return wk.weekly_balance(charges, "current", ["person"])
 
 
-# ------------------------------------------------------------------- timesheets
+# ------------------------------------------------------------------- week tables
 @query
-def timesheet_v7(spark, sf):
-    return ts.timesheet(ch.combine(ch.charge_ledger(samples.charges_raw(spark, sf))), DONE, unlisted=ADMIN)
+def week_table_v7(spark, sf):
+    return ts.week_table(ch.combine(ch.charge_ledger(samples.charges_raw(spark, sf))), DONE, unlisted=ADMIN)
 
 
 @query
-def timesheet_by_person(spark, sf):
+def week_table_by_person(spark, sf):
     charges = ch.charge_ledger(samples.charges_raw(spark, sf), ["person"])
-    return ts.timesheet(charges, DONE, by=["person"], unlisted=ADMIN)
+    return ts.week_table(charges, DONE, by=["person"], unlisted=ADMIN)
 
 
 @query
-def timesheet_v4(spark, sf):
+def week_table_v4(spark, sf):
     ids = ["project", "subproject", "code", "subcode"]
-    return ts.timesheet(_plan_combined(spark, sf), DONE, ids=ids, unlisted=ADMIN).drop("Sheet")
+    return ts.week_table(_plan_combined(spark, sf), DONE, ids=ids, unlisted=ADMIN).drop("Sheet")
 
 
 @query
-def timesheet_v1(spark, sf):
+def week_table_v1(spark, sf):
     charges = ch.plan_ledger(samples.charges_raw(spark, sf), need_hours=False)
-    return ts.timesheet_planned(charges, ch.prepare_projects(samples.plan_raw(spark, sf)), DONE).drop("code")
+    return ts.week_table_planned(charges, ch.prepare_projects(samples.plan_raw(spark, sf)), DONE).drop("code")
 
 
 @query
-def timesheet_printable(spark, sf):
+def week_table_printable(spark, sf):
     charges = ch.charge_ledger(samples.charges_raw(spark, sf))
-    return ts.printable(ts.timesheet(charges, DONE, unlisted=ADMIN)).select("period", "project", "code", "Mon", "Sun", "Total")
+    return ts.printable(ts.week_table(charges, DONE, unlisted=ADMIN)).select("period", "project", "code", "Mon", "Sun", "Total")
 
 
 @query

@@ -29,6 +29,16 @@ DEFAULT_TIMESTAMP_FORMATS = (
 )
 
 
+#: Serial of 31 December 9999; as far back there is no date of year 1 or later either.
+LAST_SERIAL = 2_958_465
+#: Text that is a serial number; a cast alone would also read "5d" and "Infinity".
+SERIAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _serial(text: Column) -> Column:
+    return F.when(text.rlike(SERIAL), text.try_cast("double"))
+
+
 def _at(epoch: str, days: Column) -> Column:
     return F.date_add(F.lit(epoch).cast("date"), days.cast("int"))
 
@@ -51,9 +61,12 @@ def excel_date(
     """Spreadsheet serial number to date, or to timestamp with ``include_time``.
 
     The modern system pretends that 29 February 1900 existed: that day becomes
-    missing and serials before it are one day further on.
+    missing and serials before it are one day further on. NaN, infinite numbers and serials
+    beyond the year 9999 are missing.
     """
     n = as_col(serial).cast("double")
+    # Beyond the calendar's years 1 to 9999, and for NaN, there is no date.
+    n = F.when(F.abs(n) <= LAST_SERIAL, n)
     day = F.floor(n)
     if system == "modern":
         unix_day = F.when(day > FALSE_LEAP_DAY, n - MODERN_UNIX_DAY).when(
@@ -99,7 +112,7 @@ def to_timestamp_mixed(
     text = F.trim(as_col(text).cast("string"))
     parsed = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
     return F.coalesce(
-        excel_date(text.try_cast("double"), system, include_time=True, tz=tz),
+        excel_date(_serial(text), system, include_time=True, tz=tz),
         text.try_cast("date").cast("timestamp") if not formats else parsed[0],
         *parsed[1:],
         text.try_cast("timestamp"),
@@ -112,7 +125,7 @@ def to_date_mixed(
     """Serial numbers, dates and date-times in one text column to date."""
     text = F.trim(as_col(text).cast("string"))
     return F.coalesce(
-        excel_date(text.try_cast("double"), system),
+        excel_date(_serial(text), system),
         text.try_cast("date"),
         *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats],
     )

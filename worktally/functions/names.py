@@ -123,7 +123,8 @@ def clean_names(df: DataFrame, case: str = "snake", replace: Mapping[str, str] |
 def clean_text(c: Column | str, replace: Mapping[str, str] | None = None) -> Column:
     """The snake-case naming rule as a column expression; missing reads as empty."""
     text = F.coalesce(as_col(c).cast("string"), F.lit(""))
-    for old, new in {**(replace or {}), **SYMBOL_WORDS}.items():
+    # The caller's words first: they win over the built-in ones.
+    for old, new in [*(replace or {}).items(), *SYMBOL_WORDS.items()]:
         text = F.replace(text, F.lit(old), F.lit(new))
     spelled = {k: v for k, v in SPELLED_LETTERS.items() if len(v) > 1}
     single = {**STRIPPED_LETTERS, **{k: v for k, v in SPELLED_LETTERS.items() if len(v) == 1}}

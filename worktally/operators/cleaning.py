@@ -33,12 +33,18 @@ def fill_with_max(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col), df.select(F.max(col)).scalar()))
 
 
+def is_missing(df: DataFrame, col: str) -> Column:
+    """Null, or NaN in a column of floating numbers."""
+    c = df[f"`{col}`"]
+    return c.isNull() | F.isnan(c) if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)) else c.isNull()
+
+
 def quality_gate(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Split into (rows with every required value, rejected rows)."""
+    """Split into (rows with every required value, rejected rows); NaN counts as missing."""
     incomplete = F.lit(False)
     for c in required:
-        incomplete = incomplete | F.col(c).isNull()
-    return drop_missing(df, required), df.filter(incomplete)
+        incomplete = incomplete | is_missing(df, c)
+    return df.filter(~incomplete), df.filter(incomplete)
 
 
 def freshness(df: DataFrame, col: str, into: str = "latest") -> DataFrame:
@@ -63,10 +69,10 @@ def remove_empty(df: DataFrame, which: str | Sequence[str] = ("rows", "cols"), c
     """
     which = (which,) if isinstance(which, str) else which
     if "rows" in which:
-        missing = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
+        missing = sum((is_missing(df, c).cast("int") for c in df.columns), F.lit(0))
         df = df.filter(missing / F.lit(len(df.columns)) < F.lit(cutoff))
     if "cols" in which:
-        total, *present = df.agg(F.count(F.lit(1)), *[F.count(F.col(c)) for c in df.columns]).first()
+        total, *present = df.agg(F.count(F.lit(1)), *[F.count(F.when(~is_missing(df, c), 1)) for c in df.columns]).first()
         df = df.select(*[c for c, k in zip(df.columns, present) if total == 0 or (total - k) / total < cutoff])
     return df
 

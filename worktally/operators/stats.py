@@ -54,7 +54,8 @@ def chisq_stat(table: Tabulation, correct: bool = True) -> DataFrame:
     if table.totals:
         warnings.warn("totals do not take part in the test", stacklevel=2)
     counts = table.counts().filter(F.col("n") > 0).select(F.col(table.row).alias("a"), F.col(table.col).alias("b"), "n")
-    counts = counts.na.drop(subset=["a", "b"]).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # Missing is a category like any other; as a field of a struct it joins itself.
+    counts = counts.groupBy(F.struct("a").alias("a"), F.struct("b").alias("b")).agg(F.sum("n").alias("n"))
     rows = counts.groupBy("a").agg(F.sum("n").alias("r"))
     cols = counts.groupBy("b").agg(F.sum("n").alias("c"))
     cells = counts.join(rows, "a").join(cols, "b")

@@ -190,31 +190,30 @@ class Tabulation:
     def wide(self, levels: Sequence | None = None, absent=None) -> DataFrame:
         """One column per level of the second variable, missing last.
 
-        Without ``levels`` the distinct column labels are looked up in the
-        counts, at most as many as Spark allows a pivot.
+        Listed levels come first, then all other labels found in the counts, at
+        most as many as Spark allows a pivot. A row is a value of the first variable,
+        so the text ``NA`` and a missing value stay apart. Rows are in the order of the
+        values, missing next, the totals row last.
         """
         cells = self.labelled()
         shown = "text" if "text" in cells.columns else "value"
         levels = levels or self.col_levels
-        if levels is None:
-            found = cells.filter(~F.col("col_total")).select(self.col, "col_label").distinct()
-            most = int(cells.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-            if found.limit(most + 1).count() > most:
-                raise ValueError(f"{self.col} has more than {most} values, keep the table in long form")
-            names = [r[0] for r in found.orderBy(F.col(self.col).asc_nulls_last()).select("col_label").collect()]
-        else:
-            names = [EMPTY_LABEL if v == "" else str(v) for v in levels]
-            if None in levels:
-                names[list(levels).index(None)] = MISSING_LABEL
+        names = [EMPTY_LABEL if v == "" else MISSING_LABEL if v is None else str(v) for v in levels or []]
+        found = cells.filter(~F.col("col_total")).select(self.col, "col_label").distinct()
+        most = int(cells.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        if found.limit(most + 1).count() > most:
+            raise ValueError(f"{self.col} has more than {most} values, keep the table in long form")
+        labels = [r[0] for r in found.orderBy(F.col(f"`{self.col}`").asc_nulls_last()).select("col_label").collect()]
+        names += [n for n in labels if n not in names]
         if "col" in self.totals:
             names.append(self.col_total_name)
         corner = self.corner or self.row
-        table = cells.groupBy(*self._by, "row_total", "row_label").pivot("col_label", names).agg(F.first(shown))
-        if shown == "value":
-            table = table.na.fill(0.0 if absent is None else absent, names)
-        elif absent is not None:
-            table = table.na.fill(absent, names)
-        return table.select(*self._by, F.col("row_label").alias(corner), *[F.col(f"`{n}`") for n in names])
+        keys = {"__row": F.col(f"`{self.row}`"), "__row_label": F.col("row_label"), "__row_total": F.col("row_total")}
+        table = cells.groupBy(*self._by, *[v.alias(k) for k, v in keys.items()]).pivot("col_label", names).agg(F.first(shown))
+        fill = 0.0 if shown == "value" and absent is None else absent
+        kept = [F.col(f"`{n}`") if fill is None else F.coalesce(f"`{n}`", F.lit(fill)).alias(n) for n in names]
+        table = table.orderBy(*self._by, "__row_total", F.col("__row").asc_nulls_last())
+        return table.select(*self._by, F.col("__row_label").alias(corner), *kept)
 
 
 def tabyl(

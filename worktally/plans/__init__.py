@@ -1 +1 @@
-"""Work-time pipelines: charges to weekly, timesheet, monthly and yearly tables."""
+"""Work-time pipelines: charges to weekly, week_table, monthly and yearly tables."""

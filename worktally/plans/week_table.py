@@ -25,7 +25,7 @@ def _week_cells(rows: DataFrame, ids: Sequence[str], blank_zero: bool) -> DataFr
     return rows.groupBy(*ids).agg(*cells)
 
 
-def timesheet(
+def week_table(
     combined: DataFrame,
     done: str,
     by: Sequence[str] = (),
@@ -42,12 +42,12 @@ def timesheet(
     """
     recent = with_counts(combined).filter(F.col("period") > F.lit(done).cast("date"))
     lines = row_totals(_week_cells(recent, [*by, "period", *ids], blank_zero=True))
-    listed = ~F.coalesce(F.col("project").isin(list(unlisted)), F.lit(False))
+    listed = F.coalesce(~F.col("project").isin(list(unlisted)), F.lit(False))
     lines = attach_group(lines, [*by, "period"], Sheet=sum_where("Total", listed), Week=sum_lenient("Total"))
     return lines.filter(F.col("Total") > 0).drop(*hidden)
 
 
-def timesheet_planned(charges: DataFrame, projects: DataFrame, done: str, by: Sequence[str] = ()) -> DataFrame:
+def week_table_planned(charges: DataFrame, projects: DataFrame, done: str, by: Sequence[str] = ()) -> DataFrame:
     """Weekday table of the charges alone, codes looked up in the plan sheet."""
     recent = with_counts(charges).filter(F.col("period") > F.lit(done).cast("date"))
     keys = [*by, "year", "project", "subproject"]
