@@ -188,11 +188,13 @@ def _solve(length: int):
         held: list[dict] = []
 
         def spans(rows: list[dict]) -> pa.RecordBatch:
-            out = set()
+            # All repeats of a context hold its anchor, so together they are one span: a row for a context at most.
+            reach: dict[int, list[int]] = {}
             for extent, depth, members in maximal_repeats([(r["body"], r["anchor"] - r["first"]) for r in rows], length):
                 for i in members.tolist():
-                    r = rows[i]
-                    out.add((r["t1"], r["t2"], r["anchor"] - extent, r["anchor"] + depth))
+                    far = reach.setdefault(i, [0, 0])
+                    far[:] = max(far[0], extent), max(far[1], depth)
+            out = [(rows[i]["t1"], rows[i]["t2"], rows[i]["anchor"] - x, rows[i]["anchor"] + y) for i, (x, y) in reach.items()]
             columns = list(zip(*out)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["t1", "t2", "start", "end"])
 
