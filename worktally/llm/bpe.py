@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from worktally.llm.common import column, stored, table
 
-WORDS = 1 << 19
+WORDS = 1 << 18
 FOLD_BYTES = 128
+#: Distinct words that a task holds before it hands their counts on.
+BATCH_WORDS = 150_000
 BUCKETS = 1 << 14
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -144,14 +146,20 @@ def heap_merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
 def count_words(texts: DataFrame, pattern: str) -> DataFrame:
     """(word, n) of all words that the fold takes, counted in batches first."""
 
+    def counted(seen: Counter) -> pa.RecordBatch:
+        short = [(w, n) for w, n in seen.items() if len(w) <= FOLD_BYTES and len(w.encode()) <= FOLD_BYTES]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 seen.update(split(text or ""))
-            short = [(w, n) for w, n in seen.items() if len(w) <= FOLD_BYTES and len(w.encode()) <= FOLD_BYTES]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+                if len(seen) > BATCH_WORDS:
+                    yield counted(seen)
+                    seen = Counter()
+            yield counted(seen)
 
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
