@@ -273,7 +273,8 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     hot = F.broadcast(stored(hot, "repeats-hot").withColumnsRenamed({"t1": "__hot1", "t2": "__hot2"}))
 
     scanned = long_.mapInArrow(_scan(length, gram), SCANNED)
-    grams = scanned.groupBy("gram").count().filter("count > 1").select(F.col("gram").alias("again"))
+    # Stored, so that Spark can split a gram that a third of all texts share: it does not over an aggregate of the same shuffle.
+    grams = stored(scanned.groupBy("gram").count().filter("count > 1").select(F.col("gram").alias("again")), "repeats-grams")
     shared = stored(scanned.join(grams, F.col("gram") == F.col("again")).drop("again"), "repeats-shared")
     place = F.xxhash64("t1", "t2", "anchor")
     contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(place).alias("one"))
