@@ -138,15 +138,15 @@ def test_complete(spark, rows):
     assert rows(reshape.complete(by, "k", "m", ["g"]).select("g", "k", "m")) == [(1, "a", 1), (1, None, 1), (2, "b", 2)]
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_complete_keeps_repeated_rows_on_axes_of_any_length(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(reshape, "AXIS_LIMIT", limit)
-    monkeypatch.setattr(reshape, "AXIS_PIECE", 1)
+@pytest.mark.parametrize("pieces", [1_024, 2, 1])
+def test_complete_keeps_repeated_rows_in_any_number_of_pieces(spark, rows, monkeypatch, pieces):
+    monkeypatch.setattr(reshape, "AXIS_PIECES", pieces)
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", None)], "k string, m int")
     want = [("a", 1), ("a", 1), ("a", 2), ("a", None), ("b", 1), ("b", 2), ("b", None)]
     assert rows(reshape.complete(df, "k", "m")) == want
     by = df.withColumn("g", F.when(F.col("k") == "a", 1))
     assert rows(reshape.complete(by, "k", "m", ["g"]).select("k", "m")) == [("a", 1), ("a", 1), ("b", 2), ("b", None)]
+    assert rows(reshape.complete(df.limit(0), "k", "m")) == []
 
 
 def test_pivot_week_and_totals(spark, rows):
@@ -194,6 +194,13 @@ def test_quantiles_by_narrowing_are_exact(spark, monkeypatch, kind):
     assert quantiles.exact_quantiles(df, "x", probs) == pytest.approx(list(np.quantile(data, probs)), rel=1e-12)
 
 
+@pytest.mark.parametrize("data", [[1.0, 2.0, 4.0], [3.0, 3.0], [5.0], [1.0, 1.0, 1.0, 7.0]])
+def test_quantiles_of_few_values_are_exact(spark, data):
+    df = spark.createDataFrame([(x,) for x in data], "x double")
+    probs = [0, 0.25, 0.5, 0.9, 1]
+    assert quantiles.exact_quantiles(df, "x", probs) == pytest.approx(list(np.quantile(data, probs)), rel=1e-12)
+
+
 @pytest.mark.parametrize("size", [2000, 2001])
 def test_group_median_is_exact(spark, monkeypatch, size):
     monkeypatch.setattr(quantiles, "NARROWING_ERROR", 0.02)

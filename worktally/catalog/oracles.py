@@ -152,9 +152,9 @@ GROUP BY year, month, period, date, project, subproject, length, startdate, endd
 sql(
     "full_outer_plan",
     TYPED + "," + PLAN,
-    """SELECT coalesce(h.year, p.year) AS year, coalesce(h.project, p.project) AS project, h.hours, p.budgeted
+    """SELECT coalesce(h.year, p.year) AS year, coalesce(h.project, p.project) AS project, h.hours, p.subcode, p.budgeted
 FROM (SELECT year, project, sum(hours) AS hours FROM typed GROUP BY ALL) h
-FULL JOIN (SELECT year + 1 AS year, project, budgeted FROM plan_raw WHERE subcode IS NULL) p
+FULL JOIN (SELECT year + 1 AS year, project, subcode, budgeted FROM plan_raw) p
   ON h.year = p.year AND h.project = p.project""",
 )
 sql(

@@ -129,10 +129,9 @@ def combine_with_plan(spark, sf):
 
 @query
 def full_outer_plan(spark, sf):
-    """Hours per planned item; items without hours and hours without item stay."""
+    """Hours beside every plan line of the year before; lines without hours and hours without a line stay."""
     hours = ch.plan_ledger(samples.charges_raw(spark, sf)).groupBy("year", "project").agg(agg.sum_lenient("hours").alias("hours"))
-    plan = samples.plan_raw(spark, sf).filter(F.col("subcode").isNull())
-    plan = plan.select((F.col("year") + 1).alias("year"), "project", "budgeted")
+    plan = samples.plan_raw(spark, sf).select((F.col("year") + 1).alias("year"), "project", "subcode", "budgeted")
     return joins.join_null_safe(hours, plan, ["year", "project"], "full")
 
 

@@ -12,7 +12,7 @@ from worktally.operators.joins import join_null_safe
 
 # Rank error of one narrowing pass; each pass keeps about four times this share.
 NARROWING_ERROR = 1e-4
-# Distinct values one ordered pass may see.
+# Values that the ordered pass at the end may see.
 SORT_LIMIT = 1_000_000
 
 
@@ -22,13 +22,14 @@ def _pair_at(df: DataFrame, col: str, rank: int, total: int) -> tuple[float, flo
     ``approxQuantile`` has a bounded rank error, so two calls a little below and
     above the wanted rank enclose it; counts confirm that they do. Only rows
     strictly between the two values go on to the next pass, and when few are
-    left they are sorted. A value repeated any number of times is one counted
-    row, so ties never pile up.
+    left they are sorted. Input of any size is narrowed at least once. A value
+    repeated any number of times is one counted row, so ties never pile up.
     """
     inside, rank_in, size = df, rank, total
+    narrowed = False
     margin = 2 * NARROWING_ERROR
     x = F.col(col)
-    while size > SORT_LIMIT:
+    while not narrowed or size > SORT_LIMIT:
         p = (rank_in + 0.5) / size
         lo, hi = inside.approxQuantile(col, [max(p - margin, 0.0), min(p + margin, 1.0)], NARROWING_ERROR)
         below, upto_lo, below_hi, upto_hi, after_lo, before_hi = inside.agg(
@@ -51,6 +52,7 @@ def _pair_at(df: DataFrame, col: str, rank: int, total: int) -> tuple[float, flo
             return before_hi, hi
         else:
             inside, rank_in, size = inside.filter((x > lo) & (x < hi)), rank_in - upto_lo, below_hi - upto_lo
+            narrowed = True
     upto = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = inside.groupBy(col).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
     found = F.min(F.when(F.col("upto") > rank_in, x)), F.min(F.when(F.col("upto") > rank_in + 1, x))

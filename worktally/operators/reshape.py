@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from worktally.functions.scalars import weekday_label
 from worktally.operators.joins import join_null_safe
@@ -15,9 +13,8 @@ from worktally.operators.joins import join_null_safe
 # Column labels of a week, Monday first.
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
-# Longest axis kept in one array, and the piece size beyond it.
-AXIS_LIMIT = 100_000
-AXIS_PIECE = 10_000
+# Pieces that an axis is dealt to.
+AXIS_PIECES = 1_024
 
 
 def pivot_week(
@@ -62,31 +59,25 @@ def complete(
 ) -> DataFrame:
     """Add a row for every absent combination of ``key`` and ``axis`` values.
 
-    ``axis`` is the short side (months, weeks, categories): its values are
-    gathered into one array per ``by`` group and exploded next to each key, so
-    nothing but the required combinations is ever produced. A date axis is
-    bounded by the calendar; the size of any other axis is counted first, and a
-    long one is cut into pieces that meet the keys in an equi join. ``fill``
-    replaces missing values, those that were there before included.
+    The values of ``axis`` are dealt to ``AXIS_PIECES`` pieces by their hash, one
+    array for each. A key gets the numbers of the pieces that occur in its ``by``
+    group, and an equi join on the number brings the arrays, so that nothing but
+    the required combinations is ever produced, no array holds a whole axis, and
+    the plan is the same at every size. ``fill`` replaces missing values, those
+    that were there before included.
     """
     by = list(by)
-    # Distinct first, so that the gathered list merges short partial lists only.
-    axes, keys = df.select(*by, axis).distinct(), df.select(*by, key).distinct()
-    members = F.sort_array(F.collect_list(F.struct(axis))).alias("__axis")
-    pieces = 1
-    if not isinstance(df.schema[axis].dataType, T.DateType):
-        sizes = axes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        longest = sizes.agg(F.max("n")).first()[0] or 0
-        pieces = 1 if longest <= AXIS_LIMIT else ceil(longest / AXIS_PIECE)
-    if pieces > 1:
-        cut = axes.withColumn("__piece", F.pmod(F.xxhash64(axis), F.lit(pieces)).cast("int"))
-        lists = cut.groupBy(*by, "__piece").agg(members)
-        spread_keys = keys.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-        grid = join_null_safe(spread_keys, lists, [*by, "__piece"])
-    elif by:
-        grid = join_null_safe(keys, axes.groupBy(*by).agg(members), by)
+    piece = F.pmod(F.xxhash64(axis), F.lit(AXIS_PIECES)).cast("int").alias("__piece")
+    # Distinct first, so that the gathered lists merge short partial lists only.
+    axes, keys = df.select(*by, axis, piece).distinct(), df.select(*by, key).distinct()
+    lists = axes.groupBy(*by, "__piece").agg(F.sort_array(F.collect_list(F.struct(axis))).alias("__axis"))
+    numbers = F.collect_set("__piece").alias("__pieces")
+    if by:
+        dealt = join_null_safe(keys, axes.groupBy(*by).agg(numbers), by)
     else:
-        grid = keys.withColumn("__axis", axes.agg(members).scalar())
+        dealt = keys.withColumn("__pieces", axes.agg(numbers).scalar())
+    dealt = dealt.withColumn("__piece", F.explode("__pieces")).drop("__pieces")
+    grid = join_null_safe(dealt, lists, [*by, "__piece"])
     grid = grid.withColumn("__axis", F.explode("__axis")).select(*by, key, F.col(f"__axis.{axis}").alias(axis))
     out = join_null_safe(grid, df, [*by, key, axis], "left").select(*df.columns)
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (fill or {}).items()})
