@@ -73,16 +73,20 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+#: The powers of both, the largest table asked for so far: shorter ones are its beginning.
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        tables = []
+        for base in (BASE, INVERSE):
+            power = np.full(size, base, np.uint64)
+            power[0] = 1
+            tables.append(np.cumprod(power, out=power))
+        _POWERS[:] = tables
+    up, down = _POWERS
     return up[:n], down[:n]
 
 

@@ -32,7 +32,8 @@ BITS = 20
 GRADES = 3
 #: Select documents whose probability of the top grade is at least this.
 TAIL = 0.5
-CHUNK = 2_000_000
+#: Bytes of text that are taken apart at once; arrays of about 70 bytes for each are alive meanwhile.
+CHUNK = 1 << 18
 
 #: 0: white space and control characters, 1: letters and all of Unicode beyond ASCII, 2: digits, 3: signs.
 _KIND = np.array([1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 0 if c <= 32 or c == 127 else 3 for c in range(256)], np.uint8)
@@ -144,12 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> O
             yield doc, feature, grades[a:b]
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, rated_here, grade_sum, squares = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), 0, 0, 0
         for batch in batches:
             for doc, feature, grades in pairs_of(batch):
-                n = np.bincount(feature, minlength=1 << BITS)
-                total = np.bincount(feature, weights=grades[doc], minlength=1 << BITS)
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"feature": np.append(at, -1), "n": np.append(n[at], len(grades)), "total": np.append(total[at], grades.sum()).astype(np.int64), "squares": np.append(0 * at, (grades.astype(np.int64) ** 2).sum())})
+                np.add.at(n, feature, 1)
+                np.add.at(total, feature, grades[doc])
+                rated_here, grade_sum, squares = rated_here + len(grades), grade_sum + int(grades.sum()), squares + int((grades.astype(np.int64) ** 2).sum())
+        at = np.flatnonzero(n)
+        if rated_here:
+            yield pa.RecordBatch.from_pydict({"feature": np.append(at, -1), "n": np.append(n[at], rated_here).astype(np.int64), "total": np.append(total[at], grade_sum).astype(np.int64), "squares": np.append(0 * at, squares)})
 
     tallied = rows.mapInArrow(tally, "feature long, n long, total long, squares long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
     whole = tallied.filter("feature = -1").collect()

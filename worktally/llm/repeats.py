@@ -37,6 +37,8 @@ GRAM = 40
 GROUP = 16_384
 CHUNK = 400_000
 HOT_SHARE = 4_096
+#: Contexts or windows that a task holds before it hands them on.
+HELD = 10_000
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -146,20 +148,26 @@ def maximal_repeats(contexts: list[tuple[bytes, int]], length: int = LENGTH) ->
                 yield extent, depth, order[members]
 
 
+CUT = "t1 long, t2 long, gram long, first int, anchor int, body binary, w1 long, w2 long"
+ROWS = [c.split()[0] for c in CUT.split(", ")]
+ROWS_TYPE = pa.schema(list(zip(ROWS, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))))
+
+
 def _cut(length: int, large: bool):
     """From documents with their ``asks``, the contexts asked for; of large grams every window's hash instead. Copies in a row answer once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous = None
         for batch in batches:
-            t1, t2 = batch.column("t1").to_pylist(), batch.column("t2").to_pylist()
-            rows = {k: [] for k in ("t1", "t2", "gram", "first", "anchor", "body", "w1", "w2")}
-            for key, asks, text in zip(zip(t1, t2), batch.column("asks").to_pylist(), batch.column("text")):
-                if not asks or key == previous:
+            t1, t2, asked, texts = (batch.column(c) for c in ("t1", "t2", "asks", "text"))
+            rows = {k: [] for k in ROWS}
+            for i in range(batch.num_rows):
+                key = (t1[i].as_py(), t2[i].as_py())
+                if not asked[i].is_valid or key == previous:
                     continue
                 previous = key
-                raw = text.as_py().encode()
-                for ask in asks:
+                raw = texts[i].as_py().encode()
+                for ask in asked[i].as_py():
                     if ask["large"] != large:
                         continue
                     if not large:
@@ -170,15 +178,14 @@ def _cut(length: int, large: bool):
                     for first, anchor, body, w1, w2 in new:
                         for k, v in zip(rows, (*key, ask["gram"], first, anchor, body, w1, w2)):
                             rows[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(rows[k], pa.int64()) for k in ("t1", "t2", "gram")), *(pa.array(rows[k], pa.int32()) for k in ("first", "anchor")), pa.array(rows["body"], pa.binary()), *(pa.array(rows[k], pa.int64()) for k in ("w1", "w2"))],
-                list(rows),
-            )
+                    if len(rows["gram"]) >= HELD:
+                        yield pa.RecordBatch.from_pydict(rows, ROWS_TYPE)
+                        rows = {k: [] for k in ROWS}
+            yield pa.RecordBatch.from_pydict(rows, ROWS_TYPE)
 
     return cut
 
 
-CUT = "t1 long, t2 long, gram long, first int, anchor int, body binary, w1 long, w2 long"
 
 
 def _solve(length: int):
