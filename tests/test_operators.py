@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from worktally.operators import cleaning, joins, quantiles, ranking, reshape
 from worktally.operators.fill import fill_down
+from worktally.session import stored
 
 DAY = dt.date(2024, 1, 1)
 
@@ -161,10 +162,27 @@ def test_numbered_equals_row_number(spark):
 
     df = spark.range(500).selectExpr("id % 3 AS g", "if(id % 50 = 0, NULL, id * id % 97) AS x", "id")
     want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy(F.col("x").asc_nulls_last(), "id")))
-    got = ranking.numbered(want, ["g"], ["x", "id"], pieces=7)
+    got = ranking.numbered(want, ["g"], ["x", "id"])
     assert got.filter("w <> seq").count() == 0 and got.count() == 500
     same = df.withColumn("x", F.lit(1))
     assert ranking.numbered(same, ["g"], ["x", "id"]).agg(F.max("seq")).first()[0] == 167
+    by_text = df.withColumn("t", F.concat(F.lit("k"), F.lpad("id", 4, "0")))
+    assert ranking.numbered(by_text, [], ["t"]).filter("seq <> id + 1").count() == 0
+    assert ranking.numbered(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("leading", ["if(id = 0, 1e15, id)", "7"])
+def test_numbered_spreads_outliers_and_hot_values(spark, monkeypatch, leading):
+    tables = []
+    # Spark would merge ranges as small as these.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(ranking, "stored", lambda df, label: tables.append(df) or stored(df, label))
+    df = spark.range(4000).selectExpr(f"{leading} AS x", "id")
+    out = ranking.numbered(df, [], ["x", "id"])
+    assert out.agg(F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()[:] == (4000, 1, 4000)
+    pieces = tables[0].groupBy(F.shiftright("__id", 33)).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(pieces) > 2 and max(r["count"] for r in pieces) < 2000
 
 
 def test_first_appearance_rank(spark, rows):

@@ -150,9 +150,8 @@ def normalize_values(
     """Clean a text column by the naming rule.
 
     Without ``order`` repeats stay as they are and the result is one projection.
-    With ``order`` repeats are numbered in that order. The numbering runs inside
-    (value, leading order key) so that one very frequent value spreads over many
-    tasks, and the start of each piece comes from counts per piece.
+    With ``order`` repeats are numbered in that order, by ``numbered``, which
+    spreads one very frequent value over many tasks.
     """
     into = into or col
     out = df.withColumn(into, clean_text(col, replace))

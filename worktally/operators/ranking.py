@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from worktally.operators.joins import attach_group, join_null_safe
+from worktally.session import stored
 
 
 def running(by: Sequence[str], order: Column):
@@ -28,40 +28,28 @@ def numbered(
     by: Sequence[str],
     order: Sequence[str],
     into: str = "seq",
-    pieces: int = 1024,
     steps: Sequence[str] = (),
 ) -> DataFrame:
     """Row number inside each group, safe for groups of any size.
 
-    The leading order column (number, date or timestamp) is cut into equal
-    ranges. Rows are numbered inside (group, range) and each range starts after
-    the row counts of the earlier ones, so a hot group is shared by many tasks.
-    ``steps`` are columns of few values that order the rows before ``order``.
+    Rows are dealt by ranges of the whole order (group, ``steps``, ``order``),
+    whose edges Spark samples: an outlier, a hot group or a hot leading value is
+    shared by many tasks, and only rows that tie in every key stay together.
+    They are sorted inside their range and stored once, so that both later
+    readers see the same ranges. There a group is one run of row ids; it starts
+    after the rows that the group has in earlier ranges. Missing order keys sort
+    last.
     """
-    kind = df.schema[order[0]].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        raise TypeError("the leading order column must be a number, date or timestamp")
-    axis = F.col(order[0])
-    if isinstance(kind, T.DateType):
-        axis = F.unix_date(axis)
-    elif not isinstance(kind, T.NumericType):
-        axis = F.unix_micros(axis.cast("timestamp"))
-    axis = axis.cast("double")
-    ends = df.agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    # Null order keys sort last; equal ends give a null bucket, one range then.
-    piece = F.when(axis.isNull(), F.lit(pieces + 2)).otherwise(
-        F.coalesce(F.width_bucket(axis, lo, hi, F.lit(pieces)), F.lit(0)).cast("int")
-    )
-    cut = df.withColumn("__piece", piece)
-    keys = [*by, *steps, "__piece"]
-    counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    in_order = [*[F.col(c).asc_nulls_last() for c in steps], F.col("__piece")]
-    earlier = Window.partitionBy(*by).orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))).drop("__rows")
-    inside = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    placed = join_null_safe(cut.withColumn("__at", F.row_number().over(inside)), starts, keys, "left")
-    return placed.withColumn(into, F.col("__start") + F.col("__at")).drop("__piece", "__at", "__start")
+    keys = [*[F.col(c) for c in by], *[F.col(c).asc_nulls_last() for c in [*steps, *order]]]
+    # Upper bits: range; lower 33 bits: place in it.
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    placed = stored(ordered, "numbered").withColumn("__piece", F.shiftright("__id", 33))
+    runs = placed.groupBy(*by, "__piece").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
+    shifts = runs.select(*by, "__piece", (before - F.col("__first") + 1).alias("__shift"))
+    out = join_null_safe(placed, shifts, [*by, "__piece"], "left")
+    return out.withColumn(into, F.col("__id") + F.col("__shift")).drop("__id", "__piece", "__shift")
 
 
 def first_appearance_rank(

@@ -137,9 +137,17 @@ def _as_blank(weeks: DataFrame) -> DataFrame:
 def blank_weeks(
     charges: DataFrame, projects: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = ("project", "code")
 ) -> DataFrame:
-    """A zero-hour row for every charged week and every project of its year."""
+    """A zero-hour row for every charged week and every project of its year.
+
+    The weeks, calendar-sized without ``by``, meet the projects in an inner join:
+    Spark may broadcast them, and else split a year of many projects on either
+    side. Weeks of years without projects are added.
+    """
     members = projects.select(*by, "year", *keys)
-    return _as_blank(join_null_safe(charged_weeks(charges, by), members, [*by, "year"], "left"))
+    weeks = charged_weeks(charges, by)
+    met = join_null_safe(members, weeks, [*by, "year"])
+    unmet = join_null_safe(weeks, members.select(*by, "year").distinct(), [*by, "year"], "left_anti")
+    return _as_blank(union_feeds(met, unmet).select(*by, *WEEK, *keys))
 
 
 def combine(charges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
