@@ -261,6 +261,23 @@ def test_repeats_against_brute_force(spark, odd, length, gram, group):
         assert len(r["spans"]) == len(re.findall(b"\1+", bytes(mark)))
 
 
+@pytest.mark.parametrize("group", [2, 16_384])
+def test_parts_of_a_text_with_many_copies_are_found(spark, group):
+    rng = random.Random(17)
+    hot, other = prose(rng, 300), prose(rng, 300)
+    texts = [hot] * 20 + [other] * 20 + [hot[:at] + " edited here " + hot[at + 5 :] for at in (300, 700, 1100)]
+    texts += [prose(rng, 20) + hot[at : at + size] + prose(rng, 20) for at, size in ((100, 200), (400, 215), (900, 260))]
+    texts += [other[500:720] + hot[600:810], prose(rng, 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(repeats.with_repeats(docs, group=group).collect())
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    for r, (raw, mark) in zip(rows, covered(texts, 200)):
+        got = bytearray(len(raw))
+        for s in r["spans"]:
+            got[s["start"] : s["end"]] = b"\1" * (s["end"] - s["start"])
+        assert got == mark
+
+
 def test_cutting_keeps_rows_and_columns(spark, odd):
     cut = repeats.without_repeats(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()

@@ -17,7 +17,8 @@ anchors are equal, and suffixes need to be sorted only at anchors: about one pos
 
 Texts travel by the hash of their bytes. A text with very many copies (more than 1/4096 of all rows; at
 most 4096 of them, so the list is broadcast) is a repeat from end to end and is settled without a join; all
-other copies of a text are few. The text is shuffled once.
+other copies of a text are few. One copy of each such text still answers for its contexts, so that other texts
+that share a part of it are found. The text is shuffled once.
 """
 
 from __future__ import annotations
@@ -304,8 +305,16 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     names = {f"__d{i}": c for i, c in enumerate(docs.columns) if c not in ("__t1", "__t2")}
     packed = marked.filter("__hot1 is null").select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), content.alias("text"), *[column(docs, c).alias(k) for k, c in names.items()])
     open_ = packed.join(told, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")), "left").drop("k1", "k2")
-    near = open_.mapInArrow(_cut(length, False), CUT).repartition("gram").sortWithinPartitions("gram").mapInArrow(_solve(length), "t1 long, t2 long, start int, end int")
-    windows = open_.mapInArrow(_cut(length, True), CUT).select("t1", "t2", "first", "w1", "w2")
+    near, windows = (open_.mapInArrow(_cut(length, large), CUT) for large in (False, True))
+    if hot.limit(1).count():
+        # Settled texts, once each: they answer for the contexts that other texts share with them, but are no output.
+        answering = marked.filter("__hot1 is not null").select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), content.alias("text")).dropDuplicates(["t1", "t2"])
+        answering = answering.join(told.filter(F.size("asks") > 0), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).drop("k1", "k2")
+        answering = stored(answering, "repeats-answering")
+        near = near.unionByName(answering.mapInArrow(_cut(length, False), CUT))
+        windows = windows.unionByName(answering.mapInArrow(_cut(length, True), CUT))
+    near = near.repartition("gram").sortWithinPartitions("gram").mapInArrow(_solve(length), "t1 long, t2 long, start int, end int")
+    windows = windows.select("t1", "t2", "first", "w1", "w2")
     again = windows.groupBy("w1", "w2").count().filter("count > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
     equal = windows.join(again, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).select("t1", "t2", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
     found = near.unionByName(equal).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("more")).withColumnsRenamed({"t1": "m1", "t2": "m2"})
