@@ -311,6 +311,33 @@ def test_vector_groups_recall(spark):
     assert vector_copies.vector_groups(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("fit_rows", [2_000, 20_000])
+def test_rare_links_are_found(spark, monkeypatch, fit_rows):
+    monkeypatch.setattr(vector_copies, "ROWS_PER_CELL", 16)
+    monkeypatch.setattr(vector_copies, "FIT_ROWS", fit_rows)
+    monkeypatch.setattr(vector_copies, "FIT_QUERIES", 100)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    turn = rng.normal(size=(60, 32))
+    turn -= (turn * x[:60]).sum(1)[:, None] * x[:60]
+    x[60:120] = 0.91 * x[:60] + np.sqrt(1 - 0.91**2) * turn / np.linalg.norm(turn, axis=1)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = vector_copies.vector_groups(df).agg(F.sum("n_links")).first()[0]
+    true = ((x @ x.T >= 0.9).sum(1) - 1).sum()
+    assert 0.9 * true <= got <= true
+
+
+def test_queries_are_no_partners_of_their_own(spark):
+    rng = np.random.default_rng(12)
+    u = rng.normal(size=(300, 8))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    entries = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(u)], "node long, unit binary")
+    grid = vector_copies.Grid(u.copy(), 4)
+    ranks = vector_copies._ranks_of_partners(entries, grid, np.arange(40), u[:40], 16, 0.9)
+    assert ranks["pairs"].sum() == ((u[:40] @ u.T >= 0.9).sum(1) - 1).sum()
+
+
 # ---- 10 quality
 
 

@@ -3,7 +3,8 @@
 The halves of the unit vectors have codebooks of their own; a pair of code words is a cell of the
 product grid. A row visits the cells nearest to it in the order of the summed half distances (the
 multi-sequence walk over two sorted lists), as many as a sample of queries needs to reach the target
-recall against brute force, and meets the rows that live there. Every meeting is verified by the
+recall against brute force, and meets the rows that live there. Where too few of the sample have partners
+to measure that, as many as partners planted at the cosine itself need. Every meeting is verified by the
 cosine in double precision.
 
 Equal vectors are one entry with a count. In a cell, residents and visitors are cut into blocks, and each
@@ -31,9 +32,11 @@ from worktally.llm.simhash import roots
 from worktally.llm.vectors import matrix, usable
 
 COSINE = 0.9
-#: The codebooks are fitted on about this many entries, the number of visits on this many queries; all entries are indexed.
+#: The codebooks are fitted on about this many entries, the number of visits on this many queries or more; all entries are indexed.
 FIT_ROWS = 20_000
 FIT_QUERIES = 1_000
+#: Queries with a partner that the number of visits rests on at least; more are drawn while they are fewer.
+FIT_PARTNERED = 200
 TARGET_RECALL = 0.995
 LEAST_VISITS = 4
 ROWS_PER_CELL = 256
@@ -93,34 +96,83 @@ def unit(vectors: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows**2).sum(1))[:, None]
 
 
-def _needed_visits(entries: DataFrame, grid: Grid, queries: np.ndarray, cosine: float) -> int:
-    """Visits after which the sampled queries have met the target share of their true partners, by query and by pair."""
-    first, second = grid.parts(queries)
+def cell_ranks(grid: Grid, rows: np.ndarray, homes: np.ndarray) -> np.ndarray:
+    """For each row, the number of cells that its walk meets before the cell of the same place in ``homes``."""
+    width = len(grid.books[1])
+    first, second = grid.parts(rows)
+    reach = first[np.arange(len(rows)), homes // width] + second[np.arange(len(rows)), homes % width]
+    rank = np.zeros(len(rows), np.int64)
+    step = max(1, (1 << 22) // (len(grid.books[0]) * width))
+    for a in range(0, len(rows), step):
+        b = slice(a, a + step)
+        rank[b] = (first[b][:, :, None] + second[b][:, None, :] < reach[b][:, None, None] - 1e-12).sum((1, 2))
+    return rank
+
+
+def planted_visits(grid: Grid, queries: np.ndarray, cosine: float) -> int:
+    """Visits after which the target share of pairs at exactly ``cosine`` meets, from either side.
+
+    A partner is planted beside each query, once towards a random direction and once towards another query, as data
+    that fill few dimensions have their neighbours there; the larger number counts.
+    """
+    rng = np.random.default_rng(0)
+    visits = LEAST_VISITS
+    for turn in (rng.standard_normal(queries.shape), queries[rng.permutation(len(queries))]):
+        turn = turn - (turn * queries).sum(1)[:, None] * queries
+        size = np.sqrt((turn**2).sum(1))
+        own, turn = queries[size > 1e-9], (turn / np.maximum(size, 1e-300)[:, None])[size > 1e-9]
+        if len(own):
+            partners = cosine * own + np.sqrt(max(0.0, 1 - cosine**2)) * turn
+            ranks = np.sort(np.minimum(cell_ranks(grid, own, grid.cells(partners)), cell_ranks(grid, partners, grid.cells(own))))
+            visits = max(visits, int(ranks[int(np.ceil(TARGET_RECALL * len(ranks))) - 1]) + 1)
+    return visits
+
+
+def _needed_visits(entries: DataFrame, grid: Grid, nodes: np.ndarray, sample: np.ndarray, count: int, cosine: float) -> int:
+    """Visits after which sampled queries have met the target share of their true partners, by query and by pair.
+
+    More queries are drawn from the sample until ``FIT_PARTNERED`` of them have a partner besides themselves. If the sample
+    ends before and is not the whole table, planted partners have a say too.
+    """
     cells = len(grid.books[0]) * len(grid.books[1])
+    drawn = np.random.default_rng(1).permutation(len(sample))
+    tables, used, more, partnered = [], 0, FIT_QUERIES, 0.0
+    while used < len(drawn) and partnered < FIT_PARTNERED:
+        part = drawn[used : used + more]
+        by_rank = _ranks_of_partners(entries, grid, nodes[part], sample[part], cells, cosine)
+        tables.append(by_rank)
+        used, more, partnered = used + len(part), min(2 * more, 4 * FIT_QUERIES), partnered + by_rank["shares"].sum()
+    table_ = pd.concat(tables).groupby("rank", as_index=False).sum().sort_values("rank")
+    visits = LEAST_VISITS
+    if len(table_):
+        enough = np.minimum(table_["pairs"].cumsum() / table_["pairs"].sum(), table_["shares"].cumsum() / table_["shares"].sum()) >= TARGET_RECALL - 1e-9
+        visits = max(visits, int(table_["rank"][enough].min()) + 1)
+    if partnered < FIT_PARTNERED and len(sample) < count:
+        visits = max(visits, planted_visits(grid, sample[drawn[:FIT_QUERIES]], cosine))
+    return visits
+
+
+def _ranks_of_partners(entries: DataFrame, grid: Grid, nodes: np.ndarray, queries: np.ndarray, cells: int, cosine: float) -> pd.DataFrame:
+    """(rank, pairs, shares): true partners by the rank of their cell in the query's walk, and these as shares of the query's partners."""
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            q, r = np.nonzero(queries @ rows.T >= cosine)
-            home = grid.cells(rows)[r]
-            reach = first[q, home // len(grid.books[1])] + second[q, home % len(grid.books[1])]
-            rank = np.zeros(len(q), np.int64)
-            for a in range(0, len(q), 4096):
-                b = slice(a, a + 4096)
-                rank[b] = (first[q[b]][:, :, None] + second[q[b]][:, None, :] < reach[b][:, None, None] - 1e-12).sum((1, 2))
-            both, n = np.unique(q * cells + rank, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"query": both // cells, "rank": both % cells, "n": n.astype(np.int64)})
-
-    found = entries.select("unit").mapInArrow(ranks, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
+            own, homes = batch.column("node").to_numpy(), grid.cells(rows)
+            for a in range(0, len(queries), FIT_QUERIES):
+                q, r = np.nonzero(queries[a : a + FIT_QUERIES] @ rows.T >= cosine)
+                q = q + a
+                apart = nodes[q] != own[r]  # no vector is a partner of itself
+                q, r = q[apart], r[apart]
+                both, n = np.unique(q * cells + cell_ranks(grid, queries[q], homes[r]), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"query": both // cells, "rank": both % cells, "n": n.astype(np.int64)})
+
+    found = entries.select("node", "unit").mapInArrow(ranks, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
     found = stored(found, "copies-ranks")
     total = found.groupBy("query").agg(F.sum("n").alias("all"))
-    by_rank = found.join(total, "query").filter("all > 1").groupBy("rank").agg(F.sum("n").alias("pairs"), F.sum(F.col("n") / F.col("all")).alias("shares"))
+    by_rank = found.join(total, "query").groupBy("rank").agg(F.sum("n").alias("pairs"), F.sum(F.col("n") / F.col("all")).alias("shares"))
     # At most one row for each of the grid's cells.
-    table_ = by_rank.toPandas().sort_values("rank")
-    if table_.empty:
-        return LEAST_VISITS
-    enough = np.minimum(table_["pairs"].cumsum() / table_["pairs"].sum(), table_["shares"].cumsum() / table_["shares"].sum()) >= TARGET_RECALL
-    return max(LEAST_VISITS, int(table_["rank"][enough].min()) + 1)
+    return by_rank.toPandas()
 
 
 def _meet(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -198,13 +250,17 @@ def vector_groups(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec
 def _links_of(entries: DataFrame, count: int, cosine: float) -> DataFrame:
     """(node, other, count) of entries of one length: counts where node = other, links where not."""
     spark = entries.sparkSession
-    read = lambda df: np.array([np.frombuffer(r[0], np.float64) for r in df.collect()])
+
+    def read(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        taken = df.select("node", "unit").collect()
+        return np.array([r[0] for r in taken], np.int64), np.array([np.frombuffer(r[1], np.float64) for r in taken])
+
     dice = F.pmod(F.xxhash64("node", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = read(entries.filter(dice <= FIT_ROWS / count).orderBy("node").select("unit").limit(2 * FIT_ROWS))
+    nodes, sample = read(entries.filter(dice <= FIT_ROWS / count).orderBy("node").limit(2 * FIT_ROWS))
     if not len(sample):
-        sample = read(entries.orderBy("node").select("unit").limit(1))
+        nodes, sample = read(entries.orderBy("node").limit(1))
     grid = Grid(sample, min(MOST_CODES, max(1, int(np.sqrt(count / ROWS_PER_CELL)))))
-    visits = _needed_visits(entries, grid, sample[:: max(1, len(sample) // FIT_QUERIES)][:FIT_QUERIES], cosine)
+    visits = _needed_visits(entries, grid, nodes, sample, count, cosine)
     sent = spark.sparkContext.broadcast(pickle.dumps(grid))
     kept: dict = {}
 
