@@ -67,6 +67,28 @@ def test_headers_differ_between_feeds(spark, rows):
     assert rows(out, "feed", "a", "b", "c", "b_2") == [("f", "1", "2", None, None), ("g", None, "3", "4", "5"), ("g", None, "6", None, None)]
 
 
+def test_ragged_feeds_keep_their_lines(spark, dirt, rows):
+    def header(*lines):
+        df = spark.createDataFrame([("r", i + 1, list(cells)) for i, cells in enumerate(lines)], dirt.schema)
+        return rows(feeds.find_header(df), "header_row"), feeds.header_to_names(df, clean=False)
+
+    at, out = header(["a", "b"], ["1", "2"], ["3", None, "x"])
+    assert at == [(1,)] and rows(out, "a", "b") == [("1", "2"), ("3", None)]
+    assert header(["a", "b"], ["1", "2"], ["3", "4", "x"])[0] == [(1,)]
+    assert header(["a", "b", "c"], ["1", "2"], ["3", "4"])[0] == [(1,)]
+    assert header(["note"], ["note"], ["note"], ["a", "b", "c"], ["1", "2", "3"])[0] == [(4,)]
+    assert header(["a", "b"], ["1", "2", None], ["3", "4", None])[0] == [(1,)]
+
+
+def test_feeds_without_a_header_are_named(spark, dirt):
+    short = spark.createDataFrame([("short", 1, ["a", "b"]), ("blank", 1, [None])], dirt.schema)
+    with pytest.raises(ValueError, match="short"):
+        feeds.header_to_names(dirt.unionByName(short), 2)
+    with pytest.raises(ValueError, match="'holes'"):
+        feeds.header_to_names(dirt.unionByName(spark.createDataFrame([("holes", 1, ["a", None])], dirt.schema)))
+    assert feeds.header_to_names(dirt.unionByName(short.filter("feed = 'blank'"))).count() == 3
+
+
 def test_read_feed(spark, tmp_path, rows):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "x.csv").write_text("exported,,\nDate,Project,Hours worked\n2024-01-01,a,1.5\nsoon,b,many\n")

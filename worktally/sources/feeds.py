@@ -48,18 +48,26 @@ def find_header(lines: DataFrame, value: str | None = None, column: int = 1) ->
     """Header row of each feed: (feed, header_row, names).
 
     By default the first row without a missing cell; a row with fewer cells than
-    the widest one of its feed has missing cells. With ``value``, the first row
-    holding it in the given column, counted from 1.
+    the usual width of its feed, the one that holds most filled cells, has missing
+    cells. Where no row is complete, the widest narrower ones without an empty cell
+    are asked. With ``value``, the first row holding it in the given column, counted
+    from 1.
     """
     if value is not None:
         hits = lines.filter(F.get("cells", F.lit(column - 1)) == value)
         at = hits.groupBy("feed").agg(F.min("pos").alias("header_row"))
     else:
-        full = F.forall("cells", lambda c: c.isNotNull() & (c != ""))
+        given = lambda c: c.isNotNull() & (c != "")
         by_width = lines.groupBy("feed", F.size("cells").alias("__width")).agg(
-            F.min(F.when(full, F.col("pos"))).alias("header_row")
+            F.min(F.when(F.forall("cells", given), F.col("pos"))).alias("header_row"),
+            F.sum(F.size(F.filter("cells", given))).alias("__filled"),
+        )
+        usual = by_width.groupBy("feed").agg(F.max_by("__width", F.struct("__filled", "__width")).alias("__usual"))
+        wide = F.col("__width") >= F.col("__usual")
+        narrower = F.when(~wide & F.col("header_row").isNotNull(), F.col("__width"))
+        at = join_null_safe(by_width, usual, ["feed"]).groupBy("feed").agg(
+            F.coalesce(F.min(F.when(wide, F.col("header_row"))), F.max_by("header_row", narrower)).alias("header_row")
         )
-        at = by_width.groupBy("feed").agg(F.max_by("header_row", "__width").alias("header_row"))
     # Positions are found by hashing; only then are the cells of those few rows taken.
     at = at.filter(F.col("header_row").isNotNull()).withColumnRenamed("header_row", "pos")
     found = join_null_safe(lines, at, ["feed", "pos"])
@@ -76,13 +84,17 @@ def header_to_names(
     """Raise one row of each feed to be its column names.
 
     Feeds may list their columns in different order: cells are picked by name
-    and the result has every name found. The driver sees the distinct header
-    rows only.
+    and the result has every name found. A feed that holds anything but has no
+    such row is an error. The driver sees the distinct header rows only.
     """
     if row == FIND_HEADER:
         headers = find_header(lines)
     else:
         headers = lines.filter(F.col("pos") == row).select("feed", F.col("pos").alias("header_row"), F.col("cells").alias("names"))
+    held = lines.groupBy("feed").agg(F.bool_or(F.exists("cells", lambda c: c.isNotNull() & (c != ""))).alias("__held"))
+    lost = join_null_safe(held.filter("__held").select("feed"), headers.select("feed"), ["feed"], "left_anti")
+    if lost := [r["feed"] for r in lost.limit(5).collect()]:
+        raise ValueError(f"feeds without a header row: {lost}")
     layouts = [r["names"] for r in headers.select("names").distinct().collect()]
     named = [(given, clean_name_list(given) if clean else unique_names([n or "x" for n in given])) for given in layouts]
     columns = list(dict.fromkeys(c for _, columns in sorted(named, key=lambda pair: pair[1]) for c in columns))
