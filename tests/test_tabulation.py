@@ -128,6 +128,14 @@ def test_top_levels(spark, rows):
         tabulate.top_levels(df, "f", LIKERT, n=3)
 
 
+def test_top_levels_counts_unlisted_values_as_missing(spark):
+    df = spark.createDataFrame([(a,) for a in ["agree", "neutral", "no answer", "no answer", None]], "f string")
+    shown = [tuple(r) for r in tabulate.top_levels(df, "f", LIKERT, show_na=True).select("place", "n", "percent").collect()]
+    assert shown == [("head", 1, 0.2), ("middle", 1, 0.2), ("tail", 0, 0.0), ("missing", 3, 0.6)]
+    hidden = [(r["place"], r["n"]) for r in tabulate.top_levels(df, "f", LIKERT).collect()]
+    assert hidden == [("head", 1), ("middle", 1), ("tail", 0)]
+
+
 def test_chisq_against_the_full_grid(spark):
     table = {("x", "a"): 10, ("x", "b"): 20, ("y", "a"): 30, ("z", "b"): 15, ("z", "a"): 5}
     df = spark.createDataFrame([k for k, n in table.items() for _ in range(n)], "r string, c string")

@@ -277,14 +277,15 @@ def _with_levels(counts, keys, row, col, row_levels, col_levels) -> DataFrame:
 def top_levels(
     df: DataFrame, col: str, levels: Sequence[str], n: int = 2, show_na: bool = False, sort: bool = False
 ) -> DataFrame:
-    """Counts of an ordered category in its first n, middle and last n levels."""
+    """Counts of an ordered category in its first n, middle and last n levels; a value that is no level counts as missing."""
     if 2 * n > len(levels):
         raise ValueError("head and tail overlap: n is more than half the number of levels")
     cut = [("head", levels[:n]), ("middle", levels[n : len(levels) - n]), ("tail", levels[len(levels) - n :])]
     cut = [(place, members) for place, members in cut if members]
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     wanted = F.col(col).isin(list(levels))
-    counts = counts.filter(wanted | F.col(col).isNull() if show_na else wanted)
+    if not show_na:
+        counts = counts.filter(wanted)
     place = F.lit("missing")
     for name, members in cut:
         place = F.when(F.col(col).isin(list(members)), F.lit(name)).otherwise(place)
