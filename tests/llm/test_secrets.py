@@ -37,7 +37,7 @@ def brute(texts):
             totals[kind][a] += n
 
     def ratio(a, b):
-        p = {kind: (c[a, b] + 0.5) / (totals[kind][a] + 0.5 * size) for kind, c in counts.items()}
+        p = {kind: (max(c[a, b] - (not kind), 0) + 0.5) / (max(totals[kind][a] - (not kind), 0) + 0.5 * size) for kind, c in counts.items()}
         return round(1000 * (math.log2((p[True] + 1 / size) / 2) - math.log2(p[False])))
 
     return [sorted(b + [s for s in own if len(s[3]) >= 16 and sum(ratio(*p) for p in zip(s[3], s[3][1:])) >= 20_000]) for b, own in zip(base, runs)]
@@ -75,9 +75,9 @@ def test_digests(spark, texts, tmp_path):
 
 def test_model_from_given_samples(spark):
     rng = random.Random(2)
-    rows = [("".join(rng.choice(KEYS) for _ in range(20)), True) for _ in range(300)] + [("_".join(rng.choices(NAMES, k=3)), False) for _ in range(300)]
+    rows = [("".join(rng.choice(KEYS) for _ in range(20)), True) for _ in range(300)] + [(rng.choice("_ - /".split()).join(rng.choice([str.lower, str.upper, str.title])(n) for n in rng.choices(NAMES, k=3)) + f"_v{rng.randint(1, 2026)}", False) for _ in range(600)]
     model = secrets.train(spark.createDataFrame([*rows, (None, True), ("x", None), ("é", False), ("", True)], "value string, random boolean"))
-    docs = spark.createDataFrame([(1, "user_name_list_total " + "aB3xK9qLmZ7pW2vR5tYc"), (2, "user_name_list_total_order")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "user_name_list_total " + "aB3xK9qLmZ7pW2vR5tYc"), (2, "user_name_list_total_order USER_NAME_LIST_TOTAL getUserNameList_v2024")], "doc_id long, text string")
     assert [[s["value"] for s in r["secrets"]] for r in secrets.with_secrets(docs, model).orderBy("doc_id").collect()] == [["aB3xK9qLmZ7pW2vR5tYc"], []]
 
 

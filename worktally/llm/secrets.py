@@ -5,8 +5,8 @@ Two first-order Markov models say how probable each character is after the one b
 one from samples of ordinary identifiers. The sum over a run of the log-likelihood ratio of its steps is compared with a threshold, the
 evidence, in bits, that a run must show against the much larger number of ordinary runs.
 
-Labelled samples come from the corpus: what the patterns caught is random, every other run of key characters is ordinary. Distinct samples
-count once, so copies weigh nothing. Steps are counted over all documents; the two tables have one row for each pair of
+Labelled samples come from the corpus: what the patterns caught is random, every other run of key characters is ordinary, as nearly all are. Distinct samples
+count once, so copies weigh nothing, and a run is judged by counts that it is taken out of. Steps are counted over all documents; the two tables have one row for each pair of
 key characters, whatever the size of the corpus, and reach the scoring as one constant array.
 The random model is half the samples' and half uniform, since samples know but a few kinds of keys. Ratios are rounded to 1/1000 bit: sums are whole
 numbers and do not depend on their order.
@@ -116,9 +116,12 @@ def _codes(value: Column) -> Column:
     return F.transform(F.split(value, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(ALPHABET), c)))
 
 
-def train(labelled: DataFrame) -> DataFrame:
+def train(labelled: DataFrame, own: int = 0) -> DataFrame:
     """One row, one column ``ratios``: the log-likelihood ratio of each step, in 1/1000 bit, at place (from - 1) * size + (to - 1).
 
+    ``own`` is taken off every count of the ordinary model: 1 if the runs to be judged are ordinary samples themselves, so
+    that no run speaks for itself.
+
     ``labelled`` has a text column ``value`` and a boolean column ``random``; missing values or labels and characters
     outside the alphabet are passed over. Without samples of a class its model is uniform.
     """
@@ -133,10 +136,10 @@ def train(labelled: DataFrame) -> DataFrame:
     totals = cells.groupBy("a").agg(F.sum("chance").alias("all_chance"), F.sum("plain").alias("all_plain"))
     cells = cells.join(totals, "a")
 
-    def smoothed(n, total):
-        return (F.col(n) + 0.5) / (F.col(total) + 0.5 * size)
+    def smoothed(n, total, less):
+        return (F.greatest(F.col(n) - less, F.lit(0)) + 0.5) / (F.greatest(F.col(total) - less, F.lit(0)) + 0.5 * size)
 
-    ratio = F.log2((smoothed("chance", "all_chance") + 1.0 / size) / 2) - F.log2(smoothed("plain", "all_plain"))
+    ratio = F.log2((smoothed("chance", "all_chance", 0) + 1.0 / size) / 2) - F.log2(smoothed("plain", "all_plain", own))
     cells = cells.select(((F.col("a") - 1) * size + F.col("b") - 1).alias("at"), F.round(ratio * UNIT).cast("int").alias("ratio"))
     # size * size entries, a number that no corpus changes.
     return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ratio"))), lambda c: c["ratio"]).alias("ratios"))
@@ -153,7 +156,7 @@ def evidence(value: Column, ratios: Column) -> Column:
 def judged(scanned: DataFrame, model: DataFrame | None = None, name: str = "secrets", bits: float = BITS) -> DataFrame:
     """Replace the spans of ``with_base`` by ``name``, the base spans and the runs that the model takes for chance, by start and kind."""
     if model is None:
-        model = train(samples(scanned))
+        model = train(samples(scanned), own=1)
     # A constant of size * size numbers; subqueries cannot stand inside array functions.
     ratios = F.split(F.lit(",".join(map(str, model.first()["ratios"]))), ",").cast("array<int>")
     chance = F.filter("__runs", lambda r: (F.length(r["value"]) >= LEAST_RUN) & r["value"].rlike("[A-Za-z]") & (evidence(r["value"], ratios) >= int(bits * UNIT)))
@@ -186,9 +189,12 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and places of the secrets of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = judged(stored(with_base(docs).drop("text"), "secrets-spans"))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
     base = F.sha2(listed(F.filter("secrets", lambda s: s["kind"] < 3)), 256)
-    return found.select("doc_id", *counts, base.alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *map(number, KINDS[:3]), base.alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
 OP13_SQL = r"""
@@ -220,7 +226,7 @@ cells AS (
          sum(coalesce(chance, 0)) OVER (PARTITION BY a) AS all_chance, sum(coalesce(plain, 0)) OVER (PARTITION BY a) AS all_plain
   FROM grid LEFT JOIN n USING (a, b)),
 ratios AS (
-  SELECT a, b, round((log2(((chance + 0.5::DOUBLE) / (all_chance + 33.5::DOUBLE) + 1.0::DOUBLE / 67) / 2) - log2((plain + 0.5::DOUBLE) / (all_plain + 33.5::DOUBLE))) * 1000)::BIGINT AS ratio
+  SELECT a, b, round((log2(((chance + 0.5::DOUBLE) / (all_chance + 33.5::DOUBLE) + 1.0::DOUBLE / 67) / 2) - log2((greatest(plain - 1, 0) + 0.5::DOUBLE) / (greatest(all_plain - 1, 0) + 33.5::DOUBLE))) * 1000)::BIGINT AS ratio
   FROM cells),
 long AS (SELECT DISTINCT value FROM runs WHERE length(value) >= 16),
 sums AS (
