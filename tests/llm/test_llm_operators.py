@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -59,6 +60,19 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(empty(df), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_components_of_any_size_take_part(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, (rng.normal(0, 1, 3) * 10.0 ** (i % 7)).tolist()) for i in range(120)] + [(150, [4e4, 0.0, 0.0]), (200, [1e30, 0.0, 0.0]), (201, [0.0, 1e-3, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"dims": F.lit("clash"), "value": F.lit(0)})
+    near = df.filter("vec_id <> 200")
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for r in topk.top_k(near, F.col("vec_id") % 50 == 0).groupBy("query_id").agg(F.collect_list(F.struct("rank", "vec_id", "score")).alias("all")).collect():
+        want = sorted((-sum(a * b for a, b in zip(q[r["query_id"]], w)), j) for j, w in q.items() if j not in (200, r["query_id"]))[:5]
+        assert [(x["vec_id"], x["score"]) for x in sorted(r["all"])] == [(j, -s) for s, j in want]
+    small = df.filter("vec_id in (200, 201)")  # far beyond 64 bits, but the score is not
+    assert [tuple(r) for r in topk.top_k(small, F.col("vec_id") % 50 == 0).collect()] == [(200, 1, 201, 0)]
+
+
 def test_bit_slices_add_up():
     rng = np.random.default_rng(1)
     values, query = rng.integers(-300, 300, (130, 9)), rng.integers(-300, 300, 9)
@@ -181,10 +195,58 @@ def test_mixing_meets_targets(spark, odd):
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns and mixing.mixed_documents(empty(odd)).count() == 0
     sized, plan = mixing.mix(odd)
-    taken = mixing.of_source(sized, plan).select((F.col("size") * mixing.copies(F.col("doc_id"), "mix")).alias("t")).agg(F.sum("t")).first()[0]
+    taken = mixing.of_source(sized, plan).select((F.col("size") * mixing.copies(F.col("doc_id"), F.col("size"), "mix")).alias("t")).agg(F.sum("t")).first()[0]
     assert taken == mixed.select(mixing.words(F.col("text")).alias("w")).agg(F.sum("w")).first()[0]
 
 
+def greedy(docs, targets):
+    """Words taken of (doc_id, size) in one source, by a plain walk through the ranking."""
+    total = sum(s for _, s in docs)
+    whole = int(targets // total) if total else 0
+    gap = budget = targets - whole * total
+    fit = [s for _, s in docs if 0 < s <= budget]
+    factor = math.inf
+    for s in sorted(set(fit), reverse=True):
+        c = (budget - sum(x for x in fit if x > s)) / sum(x * x for x in fit if x <= s)
+        if c * s < 1:
+            factor = c
+            break
+    ranks = []
+    for i, s in docs:
+        u = (int(hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        if s:
+            ranks.append((u - 1 if factor * s >= 1 else u / (1 - u) / (factor * s / (1 - factor * s)), str(i), s, i))
+    taken = set()
+    for rank, _, s, i in sorted(ranks):
+        if s <= gap:
+            gap -= s
+            taken.add((i, s))
+    left = sorted((abs(s - gap), str(i), s, i) for _, _, s, i in ranks if (i, s) not in taken)
+    if left and left[0][0] < gap:
+        taken.add((left[0][3], left[0][2]))
+    return {(i, s): s * (whole + ((i, s) in taken)) for i, s in docs}
+
+
+@pytest.mark.parametrize("each", [7, mixing.DOCS_PER_RANGE])
+def test_mixing_against_a_plain_walk(spark, monkeypatch, each):
+    monkeypatch.setattr(mixing, "DOCS_PER_RANGE", each)
+    rng = random.Random(21)
+    sizes = {"a": [200] * 500 + [200_000], "b": [rng.randint(1, 900) for _ in range(300)] + [0, 0], "c": [rng.choice([3, 50, 70_000]) for _ in range(60)], None: [40_000, 90_000, 1, 2, 2]}
+    docs = [(k, src, n) for k, (src, n) in enumerate((src, n) for src, all_ in sizes.items() for n in all_)]
+    sized = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    plan = mixing.mixing_plan(sized, "mix")
+    rows = mixing.of_source(sized, plan).withColumn("times", mixing.copies(F.col("doc_id"), F.col("size"), "mix")).toPandas()
+    for src, all_ in sizes.items():
+        own = rows[rows.source.isna() if src is None else rows.source == src]
+        target = own.target.iloc[0]
+        want = greedy([(i, n) for i, s, n in docs if s == src], target)
+        assert {(i, n): n * t for i, n, t in zip(own.doc_id, own["size"], own.times)} == want
+        whole = own.times.min()
+        left = own["size"][(own.times == whole) & (own["size"] > 0)]
+        assert abs(sum(want.values()) - target) <= max(0.01 * target, left.min() / 2 if len(left) else 0)
+        assert (own.times <= 3).all()
+
+
 # ---- 7 SimHash
 
 
@@ -231,9 +293,54 @@ def test_one_document_of_each_group_stays(spark, odd):
     assert len(set(prints)) == len(prints) and {fingerprint(r["text"]) for r in odd.collect()} >= set(prints)
 
 
+def test_no_text_is_lost_where_ids_repeat(spark):
+    rng = random.Random(22)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    near_c = c.replace(c.split()[50], "edited", 1)
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, near_c), (None, c), (3, a.upper()), (None, None), (None, ""), (5, prose(rng, 90)), (5, prose(rng, 90)), (6, a), (6, a)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, print int")
+    kept = [tuple(r) for r in simhash.without_near_copies(docs).collect()]
+    marks = [int(f"{fingerprint(t):x}", 16) for _, t in rows]
+    root = {m: min(x for x in marks if (m ^ x).bit_count() <= 3) for m in marks}
+    assert sorted(root[fingerprint(r[1])] for r in kept) == sorted(set(root.values()))
+    assert (1, a, 0) in kept and (1, b, 0) in kept and sum(r[0] == 5 for r in kept) == 2
+    copies = simhash.without_near_copies(spark.createDataFrame([(7, a, 0)] * 3, docs.schema))
+    assert [tuple(r) for r in copies.collect()] == [(7, a, 0)]
+
+
 # ---- 8 repeats
 
 
+def test_repeats_in_very_long_texts(spark):
+    rng = np.random.default_rng(23)
+    passage = bytes(rng.integers(97, 123, 1_000, np.uint8)).decode()
+    long_ = bytes(rng.integers(97, 123, 20_000_000, np.uint8)).decode()
+    places = [0, repeats.CHUNK - 500, 7_777_777, len(long_) - 1_000]
+    for p in places:
+        long_ = long_[:p] + passage + long_[p + 1_000 :]
+    for k, p in enumerate(places):  # what stands beside the passages differs
+        long_ = long_[: p - 1] + "ABCD"[k] + long_[p:] if p else long_
+        long_ = long_[: p + 1_000] + "EFGH"[k] + long_[p + 1_001 :] if p + 1_000 < len(long_) else long_
+    docs = spark.createDataFrame([(1, long_), (2, "short " + passage[100:400])], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in repeats.with_repeats(docs).drop("text").collect()}
+    assert got == {1: [(p, p + 1_000) for p in places], 2: [(6, 306)]}
+
+
+def test_pieces_of_a_text_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    monkeypatch.setattr(repeats, "TEXTS", 3)
+    rng = random.Random(24)
+    base = prose(rng, 900)
+    texts = [base, base[300:2500] + prose(rng, 40) + base[:900], prose(rng, 300) + base[2000:2260], "ab" * 2500, "", None, base[1:3000], "é" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(repeats.with_repeats(docs).collect(), key=lambda r: r["doc_id"])
+    for r, (raw, mark) in zip(rows, covered(texts, 200)):
+        got = bytearray(len(raw))
+        for s in r["spans"]:
+            got[s["start"] : s["end"]] = b"\1" * (s["end"] - s["start"])
+        assert got == mark
+
+
 def covered(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = collections.Counter(r[p : p + length] for r in raws for p in range(len(r) - length + 1))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worktally.llm import negatives
+from worktally.llm.vectors import whole_numbers
 
 
 def brute(rows, scale=256):
@@ -45,7 +46,7 @@ def test_components_of_any_size(spark):
     rng = np.random.default_rng(4)
     rows = [(i, i % 3, (rng.normal(0, 1, 4) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(150)]
     assert mined(spark, rows) == brute(rows)
-    block = negatives.Block(np.arange(3), np.zeros(3, int), negatives.whole_numbers([[1e300, 1.0], [2.0, 3.0], [-5.0, 1e17]], 256), np.zeros((2, 3), int))
+    block = negatives.Block(np.arange(3), np.zeros(3, int), whole_numbers([[1e300, 1.0], [2.0, 3.0], [-5.0, 1e17]], 256), np.zeros((2, 3), int))
     values, anchors = block.fitted(np.array([[256, 512]], np.int64))
     assert (values @ anchors[0]).tolist() == [int(1e300) * 65536 + 256 * 512, 512 * 256 + 768 * 512, -1280 * 256 + int(1e17) * 256 * 512]
 

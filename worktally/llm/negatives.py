@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worktally.llm.common import column, split_count, stored, table
-from worktally.llm.vectors import usable
+from worktally.llm.vectors import dumped, loaded, usable, whole_numbers
 
 SCALE = 256
 ROWS_PER_BLOCK = 8_192
@@ -39,14 +39,6 @@ FIRST_DEPTH = 32
 EXACT = 1 << 53
 
 
-def whole_numbers(vectors: list[list[float]], scale: int) -> np.ndarray:
-    """floor(scale * x) of rows of one length: 64-bit numbers where they fit, Python's numbers of any size else."""
-    scaled = np.floor(np.array(vectors, np.float64).reshape(len(vectors), -1) * float(scale))
-    if not np.isfinite(scaled).all():  # a double near the largest: multiply as whole numbers
-        return np.array([[int(x) * scale if abs(x) >= EXACT else int(np.floor(x * scale)) for x in v] for v in vectors], object)
-    return scaled.astype(np.int64) if np.abs(scaled).max(initial=0) < 1 << 62 else np.array([[int(x) for x in v] for v in scaled], object)
-
-
 def largest(values: np.ndarray) -> int:
     return max((abs(int(x)) for x in (values.max(initial=0), values.min(initial=0))), default=0)
 
@@ -159,21 +151,8 @@ def negatives_in(block: Block, values: np.ndarray, label: int, anchor: np.ndarra
     return out
 
 
-def _plain(values: np.ndarray) -> dict:
-    """A matrix as bytes, or as text where its numbers exceed 64 bits."""
-    if values.dtype == object:
-        return {"body": b"", "large": [str(x) for x in values.ravel()]}
-    return {"body": values.astype(np.int64).tobytes(), "large": None}
-
-
-def _matrix(body: bytes, large: list[str] | None, rows: int) -> np.ndarray:
-    if large is not None:
-        return np.array([int(x) for x in large], object).reshape(rows, -1)
-    return np.frombuffer(body, np.int64).reshape(rows, -1)
-
-
-PACKED = "block long, dims long, ids binary, labels binary, low long, high long, body binary, large array<string>, orders binary"
-PACKED_TYPE = pa.schema([("block", pa.int64()), ("dims", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("body", pa.binary()), ("large", pa.list_(pa.string())), ("orders", pa.binary())])
+PACKED = "block long, dims long, ids binary, labels binary, low long, high long, body binary, orders binary"
+PACKED_TYPE = pa.schema([("block", pa.int64()), ("dims", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("body", pa.binary()), ("orders", pa.binary())])
 
 
 def _pack(scale: int, lists: bool):
@@ -192,7 +171,7 @@ def _pack(scale: int, lists: bool):
             labels = own.column("label").to_numpy()
             row = {"block": part, "dims": int(d), "ids": own.column("vec_id").to_numpy().tobytes(), "labels": labels.tobytes(), "low": int(labels.min()), "high": int(labels.max())}
             orders = np.argsort(values, axis=0, kind="stable").T.astype(np.int32) if lists else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_pylist([row | _plain(values) | {"orders": np.ascontiguousarray(orders).tobytes()}], PACKED_TYPE)
+            yield pa.RecordBatch.from_pylist([row | {"body": dumped(values), "orders": np.ascontiguousarray(orders).tobytes()}], PACKED_TYPE)
 
     return pack
 
@@ -204,15 +183,15 @@ def _packed(rows: DataFrame, parts: int, scale: int, lists: bool, label: str) ->
 
 def _meeting(blocks: DataFrame, count: int, batches: DataFrame, keep: Column, more: tuple[str, ...] = ()) -> DataFrame:
     """Every batch of anchors beside every block of rows that may hold what it looks for."""
-    asked = batches.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "dims", "ids", "labels", "low", "high", "body", "large")], *more)
+    asked = batches.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "dims", "ids", "labels", "low", "high", "body")], *more)
     asked = asked.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).repartition(count, "at")
     met = blocks.repartition(count, "block").join(asked, (F.col("block") == F.col("at")) & (F.col("dims") == F.col("q_dims")) & keep)
-    return met.select("ids", "labels", "body", "large", "orders", "q_block", "q_dims", "q_ids", "q_labels", "q_body", "q_large", *more)
+    return met.select("ids", "labels", "body", "orders", "q_block", "q_dims", "q_ids", "q_labels", "q_body", *more)
 
 
 def _block(r: dict) -> Block:
     ids = np.frombuffer(r["ids"], np.int64)
-    return Block(ids, np.frombuffer(r["labels"], np.int64), _matrix(r["body"], r["large"], len(ids)), np.frombuffer(r["orders"], np.int32).reshape(-1, len(ids)))
+    return Block(ids, np.frombuffer(r["labels"], np.int64), loaded(r["body"], len(ids)), np.frombuffer(r["orders"], np.int32).reshape(-1, len(ids)))
 
 
 FOUND = [("batch", pa.int64()), ("batch_dims", pa.int64()), ("nth", pa.int64()), ("anchor_id", pa.int64()), ("asked", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
@@ -229,7 +208,7 @@ def _search(k: int, window: tuple[int, int] | None):
                 block = _block(r)
                 own = np.frombuffer(r["q_ids"], np.int64)
                 labels = np.frombuffer(r["q_labels"], np.int64)
-                values, anchors = block.fitted(_matrix(r["q_body"], r["q_large"], len(own)))
+                values, anchors = block.fitted(loaded(r["q_body"], len(own)))
                 out = {name: [] for name, _ in FOUND}
 
                 def tell(nth: int, asked: int | None, at: np.ndarray, scores: np.ndarray) -> None:

@@ -36,7 +36,10 @@ from worktally.llm.common import column, mixed, pieces, powers, prefix_sums, sto
 LENGTH = 200
 GRAM = 40
 GROUP = 16_384
-CHUNK = 400_000
+#: Bytes that one pass over texts takes together, of a longer text a piece of it.
+CHUNK = 200_000
+#: Texts of a batch that are bytes in Python at a time.
+TEXTS = 64
 HOT_SHARE = 4_096
 #: Contexts or windows that a task holds before it hands them on.
 HELD = 10_000
@@ -79,19 +82,26 @@ def _scan(length: int, gram: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(i).to_numpy() for i in (0, 1)]
-            texts = utf8(batch.column(2))
-            for a, b in pieces(texts, CHUNK):
-                whole = b"".join(texts[a:b])
-                ends = np.cumsum([len(t) for t in texts[a:b]])
-                owner, first, last, at, hashes = runs(np.frombuffer(whole, np.uint8), ends, length, gram)
-                view, digest = memoryview(whole), xxhash.xxh3_64_intdigest
-                context = np.array([digest(view[x:y]) for x, y in zip(first.tolist(), (last + length).tolist())], np.uint64)
-                base = np.concatenate(([0], ends))[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(k[a:b][owner]) for k in keys), *(pa.array((x - base).astype(np.int32)) for x in (first, at, last)), pa.array(hashes), pa.array(context.view(np.int64))],
-                    ["t1", "t2", "first", "anchor", "last", "gram", "context"],
-                )
+            for low in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(low, TEXTS)
+                keys = [some.column(i).to_numpy() for i in (0, 1)]
+                # Pieces of a long text overlap so that each window lies in one; a run that is cut there is two runs.
+                texts = utf8(some.column(2))
+                at = [(i, s) for i, t in enumerate(texts) for s in range(0, max(1, len(t) - length + 1), CHUNK)]
+                parts = [texts[i][s : s + CHUNK + length - 1] for i, s in at]
+                number, offset = np.array(at, np.int64).reshape(-1, 2).T
+                for a, b in pieces(parts, CHUNK):
+                    whole = b"".join(parts[a:b])
+                    ends = np.cumsum([len(t) for t in parts[a:b]])
+                    owner, first, last, anchor, hashes = runs(np.frombuffer(whole, np.uint8), ends, length, gram)
+                    view, digest = memoryview(whole), xxhash.xxh3_64_intdigest
+                    context = np.array([digest(view[x:y]) for x, y in zip(first.tolist(), (last + length).tolist())], np.uint64)
+                    base = np.concatenate(([0], ends))[owner] - offset[a:b][owner]
+                    text = number[a:b][owner]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(k[text]) for k in keys), *(pa.array((x - base).astype(np.int32)) for x in (first, anchor, last)), pa.array(hashes), pa.array(context.view(np.int64))],
+                        ["t1", "t2", "first", "anchor", "last", "gram", "context"],
+                    )
 
     return scan
 
@@ -154,13 +164,13 @@ ROWS = [c.split()[0] for c in CUT.split(", ")]
 ROWS_TYPE = pa.schema(list(zip(ROWS, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))))
 
 
-def _cut(length: int, large: bool):
+def _cut(length: int, large: bool, text: str):
     """From documents with their ``asks``, the contexts asked for; of large grams every window's hash instead. Copies in a row answer once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous = None
         for batch in batches:
-            t1, t2, asked, texts = (batch.column(c) for c in ("t1", "t2", "asks", "text"))
+            t1, t2, asked, texts = (batch.column(c) for c in ("t1", "t2", "asks", text))
             rows = {k: [] for k in ROWS}
             for i in range(batch.num_rows):
                 key = (t1[i].as_py(), t2[i].as_py())
@@ -242,9 +252,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _merge(spans: pa.Array) -> pa.Array:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return pa.array([[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in own])] for own in spans.to_pylist()], kind)
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for s in own])] for own in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["m1", "m2", "spans"])
 
 
 def _keep(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -272,7 +284,8 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     """
     content = F.coalesce(column(docs, text), F.lit(""))
     digest = F.md5(content.cast("binary"))
-    half = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    # Never missing, and declared so: an inner join adds no filter, and all joins below read one shuffle of the texts.
+    half = lambda at: F.coalesce(F.conv(F.substring(digest, at, 16), 16, -10).cast("long"), F.lit(0).cast("long"))
     docs = docs.withColumns({"__t1": half(1), "__t2": half(17)})
     rows = docs.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), content.alias("text"))
     long_ = rows.filter(F.octet_length("text") >= length)
@@ -294,33 +307,35 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     span = F.when(F.col("times") > 1, F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")))
     seen = seen.select("t1", "t2", ask.alias("ask"), span.alias("span")).filter("ask is not null or span is not null")
     told = stored(seen.groupBy("t1", "t2").agg(F.collect_set("ask").alias("asks"), F.collect_set("span").alias("sure")), "repeats-told")
-    told = told.withColumnsRenamed({"t1": "k1", "t2": "k2"})
+    asking = told.filter(F.size("asks") > 0).select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "asks")
 
     marked = docs.join(hot, (F.col("__t1") == F.col("__hot1")) & (F.col("__t2") == F.col("__hot2")), "left")
     settled = marked.filter("__hot1 is not null").drop("__hot1", "__hot2")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.octet_length(column(docs, text)).alias("end")))
     settled = settled.withColumn(name, whole).drop("__t1", "__t2")
 
-    # Both uses of ``open_`` read one shuffle of the texts, so they must ask for the same columns.
+    # All uses of ``packed`` read one shuffle of the texts, so they must ask for the same columns.
     names = {f"__d{i}": c for i, c in enumerate(docs.columns) if c not in ("__t1", "__t2")}
-    packed = marked.filter("__hot1 is null").select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), content.alias("text"), *[column(docs, c).alias(k) for k, c in names.items()])
-    open_ = packed.join(told, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")), "left").drop("k1", "k2")
-    near, windows = (open_.mapInArrow(_cut(length, large), CUT) for large in (False, True))
+    packed = marked.filter("__hot1 is null").select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), *[column(docs, c).alias(k) for k, c in names.items()])
+    body = next(k for k, c in names.items() if c == text)
+    open_ = packed.join(asking, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).drop("k1", "k2")
+    near, windows = (open_.mapInArrow(_cut(length, large, body), CUT) for large in (False, True))
     if hot.limit(1).count():
         # Settled texts, once each: they answer for the contexts that other texts share with them, but are no output.
         answering = marked.filter("__hot1 is not null").select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), content.alias("text")).dropDuplicates(["t1", "t2"])
-        answering = answering.join(told.filter(F.size("asks") > 0), (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).drop("k1", "k2")
+        answering = answering.join(asking, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).drop("k1", "k2")
         answering = stored(answering, "repeats-answering")
-        near = near.unionByName(answering.mapInArrow(_cut(length, False), CUT))
-        windows = windows.unionByName(answering.mapInArrow(_cut(length, True), CUT))
+        near = near.unionByName(answering.mapInArrow(_cut(length, False, "text"), CUT))
+        windows = windows.unionByName(answering.mapInArrow(_cut(length, True, "text"), CUT))
     near = near.repartition("gram").sortWithinPartitions("gram").mapInArrow(_solve(length), "t1 long, t2 long, start int, end int")
     windows = windows.select("t1", "t2", "first", "w1", "w2")
     again = windows.groupBy("w1", "w2").count().filter("count > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
     equal = windows.join(again, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).select("t1", "t2", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
-    found = near.unionByName(equal).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("more")).withColumnsRenamed({"t1": "m1", "t2": "m2"})
+    sure = told.select("t1", "t2", F.explode("sure").alias("span")).select("t1", "t2", "span.*")
+    found = sure.unionByName(near).unionByName(equal).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = found.mapInArrow(_merge, "m1 long, m2 long, spans array<struct<start:int,end:int>>").withColumnRenamed("spans", "__spans")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    result = open_.join(found, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")), "left")
-    result = result.withColumn("__spans", F.arrow_udf(_merge, "array<struct<start:int,end:int>>")(F.concat(F.coalesce("sure", none), F.coalesce("more", none))))
+    result = packed.join(found, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")), "left").withColumn("__spans", F.coalesce("__spans", none))
     result = result.select(*[F.col(k).alias(c) for k, c in names.items() if c != name], F.col("__spans").alias(name))
     return result.unionByName(settled.select(*[column(settled, c) for c in result.columns]))
 

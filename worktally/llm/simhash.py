@@ -142,6 +142,15 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     return index.mapInArrow(links, "a long, b long")
 
 
+def rooted(prints: DataFrame, distance: int) -> DataFrame:
+    """(print, root, component_id) of the fingerprints in stored rows (doc_id, print): the root names a component, also where no document of it has an id."""
+    entries = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-entries")
+    reached = components(near_links(entries.select("print"), distance))
+    own = entries.join(reached.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(own.join(least, "root").select("print", "root", "component_id"), "simhash-components")
+
+
 def simhash_groups(docs: DataFrame, length: int = SHINGLE, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id): the least doc_id that links reach, the document's own included.
 
@@ -151,34 +160,31 @@ def simhash_groups(docs: DataFrame, length: int = SHINGLE, distance: int = DISTA
     """
     prints = with_fingerprint(docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text")), "text", "print", length)
     prints = stored(prints.select("doc_id", "print"), "simhash-prints")
-    entries = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-entries")
-    reached = components(near_links(entries.select("print"), distance))
-    own = entries.join(reached.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    entries = stored(own.join(least, "root").select("print", "component_id"), "simhash-components")
+    entries = rooted(prints, distance)
     return prints.join(entries, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_copies(docs: DataFrame, length: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """Keep one document of each component, the one with the least id, with its columns.
+    """Keep one document, with its columns, of each component: the one with the least id.
 
-    Rows that repeat an id count as that document once, whichever of them comes first by its columns.
-    Of documents without an id, which no least id can name, one of each text stays.
+    Ids need not be there or be unique: a component is told by its fingerprints, a row by a hash of 128 bits of all its columns, so
+    rows that share an id but not the text are documents each. Of several rows with the least id the one with the least hash
+    stays, and once if it is repeated. Rows without an id come after all others.
     """
-    groups = stored(simhash_groups(docs, length, distance), "simhash-groups")
-    heads = groups.filter("doc_id = component_id").groupBy("doc_id").count()
-    heads = stored(heads.select(F.col("doc_id").alias("__head"), F.col("count").alias("__times")), "simhash-heads")
-    kept = docs.join(heads, docs["doc_id"] == heads["__head"])
-    if heads.filter("__times > 1").limit(1).count():
-        once = kept.filter("__times > 1").dropDuplicates(["__head"])
+    digest = F.md5(F.to_json(F.struct(*[column(docs, c) for c in docs.columns])).cast("binary"))
+    half = lambda at: F.coalesce(F.conv(F.substring(digest, at, 16), 16, -10).cast("long"), F.lit(0).cast("long"))
+    marked = docs.withColumns({"__h1": half(1), "__h2": half(17)})
+    prints = with_fingerprint(marked.select("doc_id", "text", "__h1", "__h2"), "text", "print", length)
+    prints = stored(prints.select("doc_id", "print", "__h1", "__h2"), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
+    rows = prints.join(rooted(prints, distance).select("print", "root"), "print").groupBy("root", "doc_id", "__h1", "__h2").agg(F.count("*").alias("times"))
+    first = rows.groupBy("root").agg(F.min(F.struct(order.alias("at"), "times")).alias("first"))
+    first = stored(first.select(F.col("first.at.h1").alias("__k1"), F.col("first.at.h2").alias("__k2"), F.col("first.times").alias("__times")), "simhash-kept")
+    kept = marked.join(first, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")))
+    if first.filter("__times > 1").limit(1).count():
+        once = kept.filter("__times > 1").dropDuplicates(["__h1", "__h2"])
         kept = kept.filter("__times = 1").unionByName(once)
-    kept = kept.drop("__head", "__times")
-    nameless = groups.filter("component_id is null").select(F.col("fingerprint").alias("__print")).distinct()
-    if nameless.limit(1).count():
-        named = with_fingerprint(docs.filter("doc_id is null"), "text", "__long", length)
-        named = named.join(nameless, F.lower(F.lpad(F.hex("__long"), 16, "0")) == F.col("__print"), "left_semi")
-        kept = kept.unionByName(named.drop("__long").dropDuplicates(["text"]))
-    return kept
+    return kept.select(*[column(kept, c) for c in docs.columns])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

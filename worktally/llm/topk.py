@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from worktally.llm.common import column, split_count, stored, table
-from worktally.llm.vectors import matrix, usable
+from worktally.llm.vectors import dumped, loaded, matrix, usable, whole_numbers
 
 SCALE = 256
 ROWS_PER_BLOCK = 8_192
 QUERIES_PER_BLOCK = 256
-#: Quantised components beyond this could carry a score out of 64 bits; such vectors take no part.
-LARGEST = 1 << 23
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +111,14 @@ def search_block(ids: np.ndarray, slices: np.ndarray, least: np.ndarray, query_i
         found = best_rows(sums, among, k)
         base = int((query * least).sum()) - top * int(-query[query < 0].sum())
         word, bit = found // 64, (found % 64).astype(np.uint64)
-        score = np.full(len(found), base, np.int64)
+        # Beyond 62 slices, numbers of any size.
+        score = np.full(len(found), base, np.int64 if len(sums) < 63 and abs(base) < 1 << 62 else object)
         for w, s in enumerate(sums):
-            score += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
+            score += ((s[word] >> bit) & np.uint64(1)).astype(np.int64).astype(score.dtype) << w
         yield found, score
 
 
-def _pack(with_slices: bool):
+def _pack(with_slices: bool, scale: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held = list(batches)  # a block's rows
@@ -129,8 +128,12 @@ def _pack(with_slices: bool):
         dims = rows.column("dims").to_numpy()
         for d in np.unique(dims):
             own = rows.filter(pa.array(dims == d)).sort_by("vec_id").combine_chunks()
-            values = matrix(own.column("value").chunk(0)).astype(np.int64)
-            body = [values.tobytes(), b""] if not with_slices else [x.tobytes() for x in slices_of(values)]
+            values = whole_numbers(matrix(own.column("value").chunk(0)), scale)
+            if with_slices:
+                slices, least = slices_of(values)
+                body = [slices.tobytes(), dumped(least)]
+            else:
+                body = [dumped(values), b""]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([int(d)], pa.int64()), pa.array([own.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([body[0]], pa.binary()), pa.array([body[1]], pa.binary())],
                 ["block", "dims", "ids", "body", "least"],
@@ -145,22 +148,21 @@ PACKED = "block long, dims long, ids binary, body binary, least binary"
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product of each query among all other rows.
 
-    Components become floor(scale * x). Vectors that are missing, empty or hold a missing or non-finite
-    component, or one beyond ``LARGEST`` when quantised, take no part, and neither do rows without an id.
+    Components become floor(scale * x), whatever their size; a score beyond 64 bits ends the query with an error. Vectors that are
+    missing, empty or hold a missing or non-finite component take no part, and neither do rows without an id.
     Only vectors of one length are compared. A query's own row is every row with its id; rows that repeat an
     id are candidates each, and queries each. No query or no candidate: no rows.
     """
     rows = vectors.select(column(vectors, vec_id).alias("vec_id"), column(vectors, vector).alias("v"), is_query.alias("is_query"))
     rows = rows.filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    rows = rows.withColumn("value", F.transform("v", lambda x: F.floor(x.cast("double") * scale)))
-    rows = rows.filter(F.forall("value", lambda x: F.abs(x) <= LARGEST)).select(F.col("vec_id").cast("long").alias("vec_id"), "value", F.size("value").alias("dims"), "is_query")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("value"), F.size("v").alias("dims"), "is_query")
     rows = stored(rows, "topk-rows")
     n, asked = rows.agg(F.count("*"), F.count_if("is_query")).first()
     blocks = split_count(n, ROWS_PER_BLOCK)
 
-    index = rows.select("vec_id", "value", "dims").repartition(blocks).mapInArrow(_pack(True), PACKED)
+    index = rows.select("vec_id", "value", "dims").repartition(blocks).mapInArrow(_pack(True, scale), PACKED)
     index = stored(index, "topk-index").repartition(blocks, "block")
-    queries = rows.filter("is_query").select("vec_id", "value", "dims").repartition(split_count(asked, QUERIES_PER_BLOCK)).mapInArrow(_pack(False), PACKED)
+    queries = rows.filter("is_query").select("vec_id", "value", "dims").repartition(split_count(asked, QUERIES_PER_BLOCK)).mapInArrow(_pack(False, scale), PACKED)
     queries = stored(queries.selectExpr("block as query_block", "dims as query_dims", "ids as query_ids", "body as query"), "topk-queries")
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition(blocks, "block")
     meeting = index.join(queries, (index["block"] == queries["block"]) & (index["dims"] == queries["query_dims"]))
@@ -168,16 +170,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, least = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["least"], np.int64)
+                ids, least = np.frombuffer(r["ids"], np.int64), loaded(r["least"], 1)[0]
                 words = -(-len(ids) // 64)
                 slices = np.frombuffer(r["body"], np.uint64).reshape(r["dims"], -1, words)
                 own = np.frombuffer(r["query_ids"], np.int64)
-                found = list(search_block(ids, slices, least, own, np.frombuffer(r["query"], np.int64).reshape(len(own), -1), k))
+                found = list(search_block(ids, slices, least, own, loaded(r["query"], len(own)), k))
                 count = [len(f) for f, _ in found]
                 number = np.repeat(np.arange(len(own)), count)
                 at = np.concatenate([f for f, _ in found])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), r["query_block"])), pa.array(np.full(len(at), r["dims"])), pa.array(number), pa.array(own[number]), pa.array(ids[at]), pa.array(np.concatenate([s for _, s in found]))],
+                    [pa.array(np.full(len(at), r["query_block"])), pa.array(np.full(len(at), r["dims"])), pa.array(number), pa.array(own[number]), pa.array(ids[at]), pa.array(np.concatenate([s for _, s in found]).tolist(), pa.int64())],
                     ["query_block", "query_dims", "nth", "query_id", "vec_id", "score"],
                 )
 
