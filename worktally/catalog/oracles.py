@@ -763,6 +763,57 @@ sql(
 FROM orders CROSS JOIN q""",
 )
 
+_PRIORITY_CELLS = ", ".join(f"count(*) FILTER (o_orderpriority = '{p}')::DOUBLE AS \"{p}\"" for p in PRIORITIES)
+sql(
+    "tabyl_column_named_n",
+    "",
+    f"""SELECT o_orderstatus AS row_total, {_PRIORITY_CELLS}, count(*)::DOUBLE AS "Total" FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'Total', {_PRIORITY_CELLS}, count(*)::DOUBLE FROM orders""",
+)
+sql(
+    "tabyl_column_named_value",
+    "",
+    """SELECT s AS value, p AS n, k AS n_2, FALSE AS row_total, FALSE AS col_total, k / sum(k) OVER (PARTITION BY s) AS value_2
+FROM (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS k FROM orders GROUP BY ALL)""",
+)
+sql(
+    "tabyl_one_way_named_n",
+    "",
+    "SELECT o_orderpriority AS n, count(*) AS n_2, count(*) / sum(count(*)) OVER () AS percent, count(*) / sum(count(*)) OVER () AS valid_percent FROM orders GROUP BY ALL",
+)
+sql(
+    "tabyl_label_clash",
+    "",
+    """SELECT lang, count(*) FILTER (doc_id % 5 = 2)::DOUBLE AS emptystring_, count(*) FILTER (doc_id % 5 = 0)::DOUBLE AS "NA_",
+  count(*) FILTER (doc_id % 5 = 1)::DOUBLE AS "Total", count(*) FILTER (doc_id % 5 = 4)::DOUBLE AS other,
+  count(*) FILTER (doc_id % 5 = 3)::DOUBLE AS "NA__2", count(*)::DOUBLE AS "Total_2" FROM documents GROUP BY lang""",
+)
+sql(
+    "tabyl_ordered_levels",
+    "counted AS (SELECT o_orderpriority, o_orderstatus FROM orders UNION ALL SELECT 'Total', o_orderstatus FROM orders)",
+    """SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'P')::DOUBLE AS "P", 0::DOUBLE AS "X", count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS "F",
+  count(*) FILTER (o_orderstatus = 'O')::DOUBLE AS "O" FROM counted GROUP BY o_orderpriority""",
+)
+_STATUS_CELLS = "o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS \"{s}\"" for s in "FOP") + ", count(*) AS t"
+_STATUS_FRAME = f"""cells AS (
+  SELECT {_STATUS_CELLS} FROM orders GROUP BY o_orderpriority
+  UNION ALL SELECT {_STATUS_CELLS.replace("o_orderpriority", "'Total'", 1)} FROM orders),
+whole AS (SELECT * FROM cells WHERE o_orderpriority = 'Total')"""
+sql(
+    "adorn_frame_totals_then_shares",
+    _STATUS_FRAME,
+    """SELECT c.o_orderpriority, c."F" / w."F" AS "F", c."O" / w."O" AS "O", c."P" / w."P" AS "P", c.t / w.t AS "Total" FROM cells c, whole w""",
+)
+sql(
+    "adorn_frame_totals_ns",
+    _STATUS_FRAME,
+    "SELECT c.o_orderpriority, "
+    + ", ".join(
+        f"concat(CAST(floor(c.{c} * 100 / w.t + 0.5) AS BIGINT), '% (', format('{{:,}}', c.{c}), ')') AS \"{n}\"" for c, n in (('"F"', "F"), ('"O"', "O"), ('"P"', "P"), ("t", "Total"))
+    )
+    + " FROM cells c, whole w",
+)
+
 # ------------------------------------------------------------------- tests
 
 
@@ -913,6 +964,32 @@ sql(
     """SELECT p_partkey, text, CASE WHEN i = 1 THEN lower(text) ELSE concat(lower(text), '_', i) END AS clean
 FROM (SELECT p_partkey, p_type AS text, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part)""",
 )
+sql(
+    "normalize_values_taken",
+    """named AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('Size ', p_size) ELSE 'size' END AS text,
+    CASE WHEN p_partkey % 3 = 0 THEN concat('size_', p_size) ELSE 'size' END AS base FROM part),
+seq AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS i FROM named),
+free AS (
+  SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) + 1 AS i
+  FROM (SELECT DISTINCT base FROM named), (SELECT unnest(range(2, (SELECT 2 * count(*) + 2 FROM part))) AS k)
+  WHERE concat(base, '_', k) NOT IN (SELECT base FROM named))""",
+    """SELECT p_partkey, text, CASE WHEN seq.i = 1 THEN base ELSE concat(base, '_', k) END AS clean
+FROM seq LEFT JOIN free USING (base, i)""",
+)
+sql(
+    "mixed_dates_report",
+    "",
+    """SELECT 'text' AS column_name, count(*) AS rows, count(*) FILTER (o_orderkey % 7 = 1) AS missing, count(*) FILTER (o_orderkey % 7 = 0) AS unreadable,
+  count(*) FILTER (o_orderkey % 7 = 2 AND o_orderkey % 90 - 5 < 1) AS not_positive,
+  count(*) FILTER (o_orderkey % 7 = 2 AND o_orderkey % 90 - 5 = 60) AS no_such_day, 0::BIGINT AS skipped_hour FROM orders""",
+)
+sql(
+    "quality_report",
+    LABELLED,
+    """SELECT source, count(*) AS rejects, (SELECT count(*) FROM docs) AS rows, (SELECT count(*) FROM docs WHERE quality IS NULL OR lang IS NULL) AS rejected,
+  (SELECT count(*) FROM docs WHERE quality IS NULL) AS missing_quality FROM docs WHERE quality IS NULL OR lang IS NULL GROUP BY source""",
+)
 sql(
     "find_header",
     "",

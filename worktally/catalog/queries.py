@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from worktally.functions import aggregates as agg
 from worktally.functions import dates, scalars
 from worktally.functions.names import clean_names, normalize_values
-from worktally.operators import adorn, cleaning, joins, quantiles, ranking, reshape, stats, tabulate
+from worktally.operators import adorn, cleaning, joins, quantiles, ranking, reports, reshape, stats, tabulate
 from worktally.operators.fill import fill_down
 from worktally.plans import charges as ch
 from worktally.plans import monthly as mo
@@ -554,6 +554,37 @@ def _orders_tab(spark, sf):
     return tabulate.tabyl(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
 
 
+@query
+def tabyl_column_named_n(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("row_total"), F.col("o_orderpriority").alias("n"))
+    return tabulate.tabyl(orders, "row_total", "n").adorn_totals().wide()
+
+
+@query
+def tabyl_column_named_value(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("value"), F.col("o_orderpriority").alias("n"))
+    return tabulate.tabyl(orders, "value", "n").adorn_percentages("row").cells
+
+
+@query
+def tabyl_one_way_named_n(spark, sf):
+    return tabulate.tabyl_one(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("n")), "n")
+
+
+@query
+def tabyl_label_clash(spark, sf):
+    names = F.array(*map(F.lit, ["NA_", "Total", "", None, "other"]))
+    docs = table(spark, sf, "documents").select("lang", F.get(names, (F.col("doc_id") % 5).cast("int")).alias("mark"))
+    return tabulate.tabyl(docs, "lang", "mark").adorn_totals("col").wide()
+
+
+@query
+def tabyl_ordered_levels(spark, sf):
+    order = ["5-LOW", "1-URGENT"]
+    tab = tabulate.tabyl(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", row_levels=order, col_levels=["P", "X"]).adorn_totals("row")
+    return tab.wide()
+
+
 @query
 def adorn_totals_both(spark, sf):
     return _orders_tab(spark, sf).adorn_totals(["row", "col"]).wide(PRIORITIES)
@@ -654,6 +685,19 @@ def adorn_frame_ns(spark, sf):
     return adorn.adorn_title(adorn.adorn_ns(adorn.adorn_rounding(means, 0, "half up"), ns), "Priority", "Status")
 
 
+@query
+def adorn_frame_totals_then_shares(spark, sf):
+    frame = adorn.remembered(_orders_frame(table(spark, sf, "orders")))
+    return adorn.plain(adorn.adorn_percentages(adorn.adorn_totals(frame, ["row", "col"]), "col"))
+
+
+@query
+def adorn_frame_totals_ns(spark, sf):
+    frame = adorn.adorn_totals(adorn.remembered(_orders_frame(table(spark, sf, "orders"))), ["row", "col"])
+    frame = adorn.adorn_pct_formatting(adorn.adorn_percentages(frame, "all"), 0, "half up").orderBy("o_orderpriority")
+    return adorn.plain(adorn.adorn_ns(frame))
+
+
 def _orders_frame(orders):
     return reshape.spread(orders, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(F.lit(1)))
 
@@ -793,6 +837,23 @@ def sas_dates(spark, sf):
     )
 
 
+@query
+def mixed_dates_report(spark, sf):
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 7 == 0, F.lit("no date")).when(key % 7 == 1, F.lit(None)).when(key % 7 == 2, (key % 90 - 5).cast("string"))
+        .when(key % 7 == 3, F.date_format(F.to_date("o_orderdate"), "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    )
+    return reports.read_dates(table(spark, sf, "orders").select(text.alias("text")), {"text": "day"}).report()
+
+
+@query
+def quality_report(spark, sf):
+    gate = reports.quality_report(with_labels(spark, sf), ["quality", "lang"])
+    counts = spark.createDataFrame([(gate.counts["rows"], gate.counts["rejected"], gate.counts["missing quality"])], "rows bigint, rejected bigint, missing_quality bigint")
+    return gate.rejected.groupBy("source").agg(F.count(F.lit(1)).alias("rejects")).join(counts, F.col("rejects") <= F.col("rows"))
+
+
 @query
 def mixed_dates(spark, sf):
     day = F.to_date("o_orderdate")
@@ -837,6 +898,12 @@ def normalize_values_part(spark, sf):
     return normalize_values(parts, "text", "clean")
 
 
+@query
+def normalize_values_taken(spark, sf):
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Size "), F.col("p_size"))).otherwise(F.lit("size"))
+    return normalize_values(table(spark, sf, "part").select("p_partkey", text.alias("text")), "text", "clean", order=["p_partkey"])
+
+
 @query
 def normalize_values_numbered(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("text"))

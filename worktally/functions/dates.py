@@ -35,7 +35,8 @@ LAST_SERIAL = 2_958_465
 SERIAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def _serial(text: Column) -> Column:
+def serial_of(text: Column) -> Column:
+    """The number that a text spells out, missing for any other text."""
     return F.when(text.rlike(SERIAL), text.try_cast("double"))
 
 
@@ -112,7 +113,7 @@ def to_timestamp_mixed(
     text = F.trim(as_col(text).cast("string"))
     parsed = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
     return F.coalesce(
-        excel_date(_serial(text), system, include_time=True, tz=tz),
+        excel_date(serial_of(text), system, include_time=True, tz=tz),
         text.try_cast("date").cast("timestamp") if not formats else parsed[0],
         *parsed[1:],
         text.try_cast("timestamp"),
@@ -125,7 +126,7 @@ def to_date_mixed(
     """Serial numbers, dates and date-times in one text column to date."""
     text = F.trim(as_col(text).cast("string"))
     return F.coalesce(
-        excel_date(_serial(text), system),
+        excel_date(serial_of(text), system),
         text.try_cast("date"),
         *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats],
     )

@@ -115,9 +115,12 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def clean_names(df: DataFrame, case: str = "snake", replace: Mapping[str, str] | None = None) -> DataFrame:
-    """Rename every column by the naming rule; a projection only, no job."""
-    return df.toDF(*clean_name_list(df.columns, case, replace))
+def clean_names(df: DataFrame, case: str = "snake", replace: Mapping[str, str] | None = None, allow_dupes: bool = False) -> DataFrame:
+    """Rename every column by the naming rule; a projection only, no job.
+
+    With ``allow_dupes`` names that become equal stay so.
+    """
+    return df.toDF(*clean_name_list(df.columns, case, replace, allow_dupes))
 
 
 def clean_text(c: Column | str, replace: Mapping[str, str] | None = None) -> Column:
@@ -150,15 +153,47 @@ def normalize_values(
     """Clean a text column by the naming rule.
 
     Without ``order`` repeats stay as they are and the result is one projection.
-    With ``order`` repeats are numbered in that order, by ``numbered``, which
-    spreads one very frequent value over many tasks.
+    With ``order`` every result is unique: the first of equal values keeps its text, the others get the numbers from 2 on, in that
+    order, leaving out those that would make a value that is there already (``a``, ``a``, ``a_2`` become ``a``, ``a_3``, ``a_2``).
+    One very frequent value is spread over many tasks.
     """
     into = into or col
     out = df.withColumn(into, clean_text(col, replace))
     if order is None:
         return out
     from worktally.operators.ranking import numbered
+    from worktally.session import stored
 
-    seq = numbered(out, by=[into], order=list(order), into="__seq")
+    seq = stored(numbered(out, by=[into], order=list(order), into="__seq"), "named")
+    number = _free_numbers(seq.select(F.col(into).alias("__base"), "__seq"))
+    if number is not None:
+        seq = seq.join(number.withColumnRenamed("__seq", "__at"), (F.col(into) == F.col("__base")) & (F.col("__seq") == F.col("__at")), "left")
+        seq = seq.withColumn("__seq", F.coalesce("__number", "__seq"))
     suffixed = F.when(F.col("__seq") > 1, F.concat(F.col(into), F.lit("_"), F.col("__seq").cast("string")))
-    return seq.withColumn(into, F.coalesce(suffixed, F.col(into))).drop("__seq")
+    return seq.withColumn(into, F.coalesce(suffixed, F.col(into))).select(*out.columns)
+
+
+#: A value that is another one and a number, as numbering writes it: from 2 on, without leading zeros.
+NUMBERED = r"(?s)^(.*)_([2-9]|[1-9][0-9]{1,17})$"
+
+
+def _free_numbers(seq: DataFrame) -> DataFrame | None:
+    """(__base, __seq, __number) of repeated values some of whose numbers are taken; nothing if none is.
+
+    The m-th repeat gets the m-th number that is free. The i-th taken number k has k - 1 - i free ones below it, so the m-th free number is m + 1 and the
+    number of taken ones with k - 1 - i < m: a running count over repeats and taken numbers in one order.
+    """
+    from worktally.operators.ranking import numbered, running_sum
+
+    values = seq.filter(F.col("__seq") == 1).select(F.col("__base").alias("value"))
+    taken = values.select(F.regexp_extract("value", NUMBERED, 1).alias("__of"), F.regexp_extract("value", NUMBERED, 2).try_cast("bigint").alias("k"))
+    repeated = seq.filter(F.col("__seq") == 2).select("__base")
+    taken = taken.filter("k is not null").join(repeated, F.col("__of") == F.col("__base")).select("__base", "k")
+    if not taken.limit(1).count():
+        return None
+    edges = numbered(taken, ["__base"], ["k"], "i").select("__base", (F.col("k") - 1 - F.col("i")).alias("m"), F.lit(0).alias("late"), F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("__seq"))
+    asked = seq.join(taken.select(F.col("__base").alias("__of")).distinct(), F.col("__base") == F.col("__of"), "left_semi").filter(F.col("__seq") > 1)
+    # An edge counts for all larger m: those that ask for m come before the edges at m.
+    asked = asked.select("__base", (F.col("__seq") - 1).alias("m"), F.lit(-1).alias("late"), F.lit(0).alias("one"), "__seq")
+    counted = running_sum(edges.unionByName(asked), ["__base"], ["m", "late"], "one", "shift")
+    return counted.filter("late = -1").select("__base", "__seq", (F.col("m") + 1 + F.col("shift")).alias("__number"))

@@ -40,18 +40,40 @@ def numbered(
     after the rows that the group has in earlier ranges. Missing order keys sort
     last.
     """
-    keys = [*[F.col(c) for c in by], *[F.col(c).asc_nulls_last() for c in [*steps, *order]]]
-    # Upper bits: range; lower 33 bits: place in it.
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
-    placed = stored(ordered, "numbered").withColumn("__piece", F.shiftright("__id", 33))
+    placed = _placed(df, by, [*steps, *order])
     runs = placed.groupBy(*by, "__piece").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
+    before = F.coalesce(F.sum("__rows").over(_earlier(by)), F.lit(0))
     shifts = runs.select(*by, "__piece", (before - F.col("__first") + 1).alias("__shift"))
     out = join_null_safe(placed, shifts, [*by, "__piece"], "left")
     return out.withColumn(into, F.col("__id") + F.col("__shift")).drop("__id", "__piece", "__shift")
 
 
+def _placed(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in ranges of the whole order, stored, with ``__id`` (rising along the order) and ``__piece`` (the range)."""
+    keys = [*[F.col(c) for c in by], *[F.col(c).asc_nulls_last() for c in order]]
+    # Upper bits: range; lower 33 bits: place in it.
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    return stored(ordered, "numbered").withColumn("__piece", F.shiftright("__id", 33))
+
+
+def _earlier(by: Sequence[str]):
+    return Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, into: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the group up to and with each row, safe for groups of any size.
+
+    Each range of the whole order adds up its own rows and starts from the sums of the ranges before it, a small table
+    with one row for each group and range. Rows that tie in every order key are added in any order.
+    """
+    placed = _placed(df, by, order)
+    sums = placed.groupBy(*by, "__piece").agg(F.sum(value).alias("__held"))
+    starts = sums.select(*by, "__piece", F.coalesce(F.sum("__held").over(_earlier(by)), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*by, "__piece").orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = join_null_safe(placed.withColumn("__part", F.sum(value).over(inside)), starts, [*by, "__piece"], "left")
+    return out.withColumn(into, F.col("__start") + F.coalesce("__part", F.lit(0))).drop("__id", "__piece", "__start", "__part")
+
+
 def first_appearance_rank(
     df: DataFrame, item: str, axis: str, weight: str, into: str = "rank", by: Sequence[str] = ()
 ) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worktally.operators.tabulate import Tabulation, tabyl
+from worktally.operators.tabulate import COL, ROW, Tabulation, tabyl
 
 # Fixed value: two table probabilities this close count as equally likely.
 TIE_TOLERANCE = 1e-7
@@ -53,7 +53,7 @@ def chisq_stat(table: Tabulation, correct: bool = True) -> DataFrame:
     """
     if table.totals:
         warnings.warn("totals do not take part in the test", stacklevel=2)
-    counts = table.counts().filter(F.col("n") > 0).select(F.col(table.row).alias("a"), F.col(table.col).alias("b"), "n")
+    counts = table.held.filter(~F.col("row_total") & ~F.col("col_total") & (F.col("n") > 0)).select(F.col(ROW).alias("a"), F.col(COL).alias("b"), "n")
     # Missing is a category like any other; as a field of a struct it joins itself.
     counts = counts.groupBy(F.struct("a").alias("a"), F.struct("b").alias("b")).agg(F.sum("n").alias("n"))
     rows = counts.groupBy("a").agg(F.sum("n").alias("r"))
