@@ -30,6 +30,8 @@ MOST_COPIES = 3
 BROADCAST_SOURCES = 20_000
 DOCS_PER_RANGE = 5_000
 SOURCES_PER_TASK = 50_000
+#: A task of a round orders one range for each of so many sources.
+SOURCES_PER_ROUND = 64
 
 #: White space is the space and the control characters 9 to 13, and nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,8 +106,13 @@ def place(doc_id: Column, size: Column, seed: str) -> Column:
     return F.struct(ranking(doc_id, size, seed).alias("rank"), id_key(doc_id).alias("id"), size.alias("size"))
 
 
-def _rounds(units: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, from, to, gap): documents between two places that are not longer than the gap are taken; no ``to``: up to the end."""
+def _rounds(units: DataFrame, sources: DataFrame, parts: int) -> DataFrame:
+    """(source, from, to, gap): documents between two places that are not longer than the gap are taken; no ``to``: up to the end.
+
+    ``units`` lie in so many ranges of (source, place), so there are at most as many sums as ranges and sources together.
+    """
+    n = sources.count()
+    few_sums, few_sources = split_count(parts + n, SOURCES_PER_TASK), split_count(n, SOURCES_PER_ROUND)
     start = F.struct(F.lit(-2.0).alias("rank"), F.lit("").alias("id"), F.lit(0).cast("long").alias("size"))
     state = stored(sources.filter("budget > 0").select("source", start.alias("from"), F.col("budget").alias("gap")), "mix-state")
     rounds = []
@@ -113,10 +120,10 @@ def _rounds(units: DataFrame, sources: DataFrame) -> DataFrame:
         open_ = of_source(units, state).filter((F.col("place") > F.col("from")) & (F.col("place.size") <= F.col("gap")))
         sums = open_.groupBy("source", "part").agg(F.sum("own").alias("held"), F.first("gap").alias("gap"))
         up_to = Window.partitionBy("source").orderBy("part")
-        sums = sums.withColumn("upto", F.sum("held").over(up_to)).filter(F.col("upto") > F.col("gap"))
+        sums = sums.repartition(few_sums, "source").withColumn("upto", F.sum("held").over(up_to)).filter(F.col("upto") > F.col("gap"))
         ends = sums.groupBy("source").agg(F.min("part").alias("end_part"), F.min_by(F.col("upto") - F.col("held"), "part").alias("before"))
         ends = stored(ends, "mix-ends")
-        inside = of_source(open_, ends).filter(F.col("part") == F.col("end_part"))
+        inside = of_source(open_, ends).filter(F.col("part") == F.col("end_part")).repartition(few_sources, "source")
         inside = inside.withColumn("upto", F.col("before") + F.sum("own").over(Window.partitionBy("source").orderBy("place")))
         over = inside.filter(F.col("upto") > F.col("gap")).groupBy("source").agg(F.min(F.struct("place", (F.col("gap") - F.col("upto") + F.col("own")).alias("gap"))).alias("next"))
         onward = stored(over.select("source", F.col("next.place").alias("from"), F.col("next.gap").alias("gap")), "mix-state")
@@ -145,9 +152,10 @@ def mixing_plan(sized: DataFrame, seed: str) -> DataFrame:
     ranked = of_source(sized, sources).filter("size > 0 and budget > 0")
     ranked = ranked.select("source", "budget", place(F.col("doc_id"), F.col("size"), seed).alias("place"))
     units = ranked.groupBy("source", "budget", "place").agg(F.count("*").alias("n")).select("source", "budget", "place", (F.col("n") * F.col("place.size")).alias("own"))
-    ranged = units.repartitionByRange(split_count(sized.count(), DOCS_PER_RANGE), "source", "place")
+    parts = split_count(sized.count(), DOCS_PER_RANGE)
+    ranged = units.repartitionByRange(parts, "source", "place")
     units = stored(ranged.withColumn("part", F.spark_partition_id()), "mix-units")
-    steps = _rounds(units.filter(F.col("place.size") <= F.col("budget")).drop("budget"), sources)
+    steps = _rounds(units.filter(F.col("place.size") <= F.col("budget")).drop("budget"), sources, parts)
     steps = stored(steps.groupBy("source").agg(F.collect_list(F.struct("from", "to", "gap")).alias("steps")), "mix-steps")
 
     # The words still missing, and the document left that comes closest to them.

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,10 +174,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> O
                 rows = np.split(at[hit].astype(np.int32), np.searchsorted(doc[hit], np.arange(1, len(grades))))
                 yield pa.RecordBatch.from_arrays([pa.array(grades, pa.int32()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["grade", "at"])
 
-    data = rows.mapInArrow(project, "grade int, at array<int>").collect()
-    grades = np.array([r["grade"] for r in data], np.int64)
-    doc = np.repeat(np.arange(len(data)), [len(r["at"]) for r in data])
-    feature = np.array([f for r in data for f in r["at"]], np.int64)
+    # As arrays, not as Python's numbers: the same rows in a tenth of the driver's memory.
+    data = rows.mapInArrow(project, "grade int, at array<int>").toArrow()
+    grades = data.column("grade").to_numpy().astype(np.int64)
+    at = data.column("at").combine_chunks()
+    doc = np.repeat(np.arange(len(data)), pc.list_value_length(at).to_numpy())
+    feature = at.flatten().to_numpy().astype(np.int64)
     weights, thresholds = fit_ordinal(doc, feature, grades, len(kept))
     return OrdinalModel(kept, weights, thresholds)
 
