@@ -200,7 +200,6 @@ def test_share_scaling_of_nothing(spark, rows):
 @pytest.mark.parametrize("kind", ["smooth", "hot", "two hot"])
 def test_quantiles_by_narrowing_are_exact(spark, monkeypatch, kind):
     monkeypatch.setattr(quantiles, "SORT_LIMIT", 20)
-    monkeypatch.setattr(quantiles, "NARROWING_ERROR", 0.02)
     value = {
         "smooth": "double(id * 7919 % 2003)",
         "hot": "if(id % 3 = 0, 500.0D, double(id * 7919 % 2003))",
@@ -221,7 +220,6 @@ def test_quantiles_of_few_values_are_exact(spark, data):
 
 @pytest.mark.parametrize("size", [2000, 2001])
 def test_group_median_is_exact(spark, monkeypatch, size):
-    monkeypatch.setattr(quantiles, "NARROWING_ERROR", 0.02)
     groups = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE 'tied' END AS g"
     values = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 2 THEN double(id % 2) ELSE double(id * 7919 % 2003) END AS x"
     df = spark.range(size).selectExpr(groups, values).union(spark.sql("SELECT 'one', 5.0D UNION ALL SELECT 'none', NULL"))

@@ -1039,3 +1039,35 @@ sql(
     "found AS (" + "\nUNION ALL ".join(_audit(False)) + ")",
     "SELECT column_name, bool_and(agrees) AS agrees, CAST(sum(n_misfits) AS BIGINT) AS n_misfits FROM found GROUP BY column_name",
 )
+sql(
+    "group_quantiles_price",
+    "cents AS (SELECT l_returnflag, l_linestatus, round(l_extendedprice * 100) AS x FROM lineitem)",
+    """SELECT l_returnflag, l_linestatus, round(quantile_cont(x, 0.1), 3) AS p10, round(quantile_cont(x, 0.5), 3) AS p50,
+  round(quantile_cont(x, 0.9), 3) AS p90 FROM cents GROUP BY ALL""",
+)
+sql(
+    "carry_forward_events",
+    "",
+    """SELECT event_id, event_type, last_value(CASE WHEN value >= 5 THEN value END IGNORE NULLS) OVER (
+  PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS value FROM events""",
+)
+sql(
+    "complete_three_keys",
+    "n AS (SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)",
+    """SELECT o_custkey, o_orderstatus, o_orderpriority, coalesce(n, 0) AS n
+FROM (SELECT * FROM (SELECT DISTINCT o_custkey FROM orders), (SELECT DISTINCT o_orderstatus FROM orders),
+  (SELECT DISTINCT o_orderpriority FROM orders))
+LEFT JOIN n USING (o_custkey, o_orderstatus, o_orderpriority)""",
+)
+sql(
+    "binned_validity_join",
+    "",
+    """SELECT a.o_custkey, a.o_orderkey, a.o_orderdate::DATE::VARCHAR AS date, b.o_orderkey AS open_order, b.o_orderdate::DATE::VARCHAR AS startdate,
+  (b.o_orderdate::DATE + (b.o_orderkey % 400)::INT)::VARCHAR AS enddate
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate::DATE BETWEEN b.o_orderdate::DATE AND b.o_orderdate::DATE + (b.o_orderkey % 400)::INT""",
+)
+sql(
+    "fill_with_max_by",
+    "known AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS x FROM customer)",
+    """SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, coalesce(x, max(x) OVER (PARTITION BY c_nationkey)) AS c_acctbal FROM known""",
+)

@@ -17,7 +17,7 @@ from worktally.functions import aggregates as agg
 from worktally.functions import dates, scalars
 from worktally.functions.names import clean_names, normalize_values
 from worktally.operators import adorn, cleaning, joins, quantiles, ranking, reports, reshape, stats, tabulate
-from worktally.operators.fill import fill_down
+from worktally.operators.fill import carry_forward, fill_down
 from worktally.plans import charges as ch
 from worktally.plans import monthly as mo
 from worktally.plans import week_table as ts
@@ -74,6 +74,13 @@ def fill_down_code(spark, sf):
     return fill_down(typed, "code", ["project"]).select("date", "project", "code", "hours")
 
 
+@query
+def carry_forward_events(spark, sf):
+    """Small readings count as missing and take the last one of their kind."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", F.when(F.col("value") >= 5, F.col("value")).alias("value"))
+    return carry_forward(events, "value", ["event_type"], ["ts", "event_id"]).select("event_id", "event_type", "value")
+
+
 @query
 def quality_rejects(spark, sf):
     return ch.prepare_charges(samples.charges_raw(spark, sf), ["person"])[1]
@@ -117,6 +124,15 @@ def combine_validity_join(spark, sf):
     return ch.combine(charges).drop("n", "missing")
 
 
+@query
+def binned_validity_join(spark, sf):
+    """Orders placed while an order of the same customer, itself included, is open for up to 400 days."""
+    orders = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate"))
+    spans = orders.select("o_custkey", F.col("o_orderkey").alias("open_order"), F.col("date").alias("startdate"))
+    spans = spans.withColumn("enddate", F.date_add("startdate", (F.col("open_order") % 400).cast("int")))
+    return joins.binned_validity_join(orders.select("o_custkey", "o_orderkey", "date"), spans, ["o_custkey"])
+
+
 def _plan_combined(spark, sf, need_hours=True):
     charges = ch.plan_ledger(samples.charges_raw(spark, sf), need_hours=need_hours)
     return ch.combine_with_plan(charges, ch.prepare_projects(samples.plan_raw(spark, sf)))
@@ -256,6 +272,13 @@ def gather_long(spark, sf):
     return reshape.gather(wide, ["o_orderpriority"], ["F", "O", "P"], "status", "n")
 
 
+@query
+def complete_three_keys(spark, sf):
+    keys = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    orders = table(spark, sf, "orders").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return reshape.complete_keys(orders, keys, {"n": 0})
+
+
 # ---------------------------------------------------------- months, years, charts
 @query
 def complete_project_month(spark, sf):
@@ -469,6 +492,13 @@ def group_median(spark, sf):
     return quantiles.group_median(lines, ["l_returnflag"], "cents")
 
 
+@query
+def group_quantiles_price(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100))
+    out = quantiles.group_quantiles(lines, ["l_returnflag", "l_linestatus"], "cents", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return out.withColumns({c: six(c, 3) for c in ("p10", "p50", "p90")})
+
+
 @query
 def n_distinct_null(spark, sf):
     return samples.charges_raw(spark, sf).groupBy("person").agg(agg.n_distinct("code").alias("n_codes"))
@@ -772,6 +802,13 @@ def single_value_fill(spark, sf):
     return cleaning.single_value(rows, ["n_name"], "region")
 
 
+@query
+def fill_with_max_by(spark, sf):
+    known = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", known.alias("c_acctbal"))
+    return cleaning.fill_with_max(rows, "c_acctbal", ["c_nationkey"])
+
+
 @query
 def one_to_one_columns(spark, sf):
     rows = _customers(spark, sf)

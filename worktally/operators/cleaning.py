@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from worktally.operators.joins import join_null_safe
+from worktally.operators.joins import attach_group, join_null_safe
 from worktally.session import stored
 
 
@@ -28,9 +28,12 @@ def fill_const(df: DataFrame, values: dict) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
 
 
-def fill_with_max(df: DataFrame, col: str) -> DataFrame:
-    """Missing values take the largest value of the whole column."""
-    return df.withColumn(col, F.coalesce(F.col(col), df.select(F.max(col)).scalar()))
+def fill_with_max(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Missing values take the largest value of the whole column, or of their ``by`` group."""
+    if not by:
+        return df.withColumn(col, F.coalesce(F.col(col), df.select(F.max(col)).scalar()))
+    filled = attach_group(df, by, __max=F.max(col))
+    return filled.withColumn(col, F.coalesce(F.col(col), F.col("__max"))).select(*df.columns)
 
 
 def is_missing(df: DataFrame, col: str) -> Column:

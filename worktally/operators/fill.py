@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worktally.operators.joins import join_null_safe
+from worktally.operators.ranking import carried_over
+
+
+def carry_forward(df: DataFrame, col: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Fill missing ``col`` with the last known one before it in ``order``, safe for groups of any size.
+
+    The order may be of any type: timestamps, row numbers, text. Each range of the whole
+    order knows the last value it holds; a range starts from the latest one of the
+    ranges before it, a small table with one row for each group and range. Missing
+    order keys come last; among rows that tie in every key, known values come first
+    and the larger ones before, so that the result does not depend on the plan.
+    """
+    return carried_over(df, col, by, order)
 
 
 def fill_down(df: DataFrame, col: str, by: Sequence[str], date: str = "date") -> DataFrame:
@@ -19,10 +32,11 @@ def fill_down(df: DataFrame, col: str, by: Sequence[str], date: str = "date") ->
     latest date that has any. It is found on a summary of one row per group and
     date: that window holds at most as many rows as the calendar has days, no
     matter how many records a hot group has. The records themselves are joined
-    to the summary and are never sorted.
+    to the summary and are never sorted. Where ``date`` is no date, days do not
+    bound the summary, and ``carry_forward`` does the same on (``date``, ``col``).
     """
     if not isinstance(df.schema[date].dataType, T.DateType):
-        raise TypeError(f"{date} must be a date column, it bounds the rows of one group")
+        return carry_forward(df, col, by, [date])
     keys = [*by, date]
     in_order = (
         Window.partitionBy(*by)

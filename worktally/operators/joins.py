@@ -13,6 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Blocks of a binned range join: this many of one level make one of the next.
+BLOCK = 32
+LEVELS = 4
 
 
 def join_null_safe(
@@ -65,6 +70,59 @@ def validity_join(
     return join_null_safe(left, ranges, on, "inner", inside)
 
 
+def _blocks(start: Column, end: Column) -> Column:
+    """Aligned blocks (level, number) of ``BLOCK ** level`` days that fill a range of day numbers, each day once.
+
+    On every level the ragged ends up to the next whole block are spelled out and the middle
+    goes on one level up: at most ``2 * (BLOCK - 1)`` blocks for each level but the last.
+    """
+    parts, a, b, inside = [], start, end, F.lit(True)
+
+    def spelled(level: int, first: Column, last: Column, when: Column) -> Column:
+        numbers = F.sequence(first, F.greatest(last, first))
+        named = F.transform(numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("number")))
+        return F.when(when & (first <= last), named).otherwise(F.slice(named, 1, 0))
+
+    for level in range(LEVELS):
+        up, down = F.ceil(a / BLOCK).cast("long"), F.floor((b + 1) / BLOCK).cast("long") - 1
+        goes_on = inside & (up <= down) if level < LEVELS - 1 else F.lit(False)
+        parts.append(spelled(level, a, b, inside & ~goes_on))
+        if level < LEVELS - 1:
+            parts += [spelled(level, a, up * BLOCK - 1, goes_on), spelled(level, (down + 1) * BLOCK, b, goes_on)]
+        a, b, inside = up, down, goes_on
+    return F.concat(*parts)
+
+
+def binned_validity_join(
+    left: DataFrame,
+    ranges: DataFrame,
+    on: Sequence[str],
+    date: str = "date",
+    start: str = "startdate",
+    end: str = "enddate",
+) -> DataFrame:
+    """``validity_join`` for keys with many ranges, or for no key at all (``on=[]``).
+
+    A range is cut into aligned blocks of days, 32 days, 1,024 days and 32,768 days; a row looks
+    up the block of its date on each level that occurs. The join is on equal key and
+    block, a date lies in one block of a range only, so the pairs formed are the pairs
+    returned, and the rows of a hot key are spread over its blocks. The driver sees the levels.
+    Ranges without a start or end, or that end before they start, contain no date. All
+    three columns must be dates.
+    """
+    for df, c in ((left, date), (ranges, start), (ranges, end)):
+        if not isinstance(df.schema[c].dataType, T.DateType):
+            raise TypeError(f"{c} must be a date column")
+    number = lambda c: F.unix_date(c).cast("long")
+    usable = ranges.filter(F.col(start) <= F.col(end))
+    spread = usable.withColumn("__block", F.explode(_blocks(number(start), number(end))))
+    levels = sorted(r[0] for r in spread.select("__block.level").distinct().collect())
+    own = [F.struct(F.lit(n).alias("level"), F.floor(number(date) / F.lit(BLOCK**n)).cast("long").alias("number")) for n in levels]
+    none = F.array().cast("array<struct<level:int,number:bigint>>")
+    looked = left.filter(F.col(date).isNotNull()).withColumn("__block", F.explode(F.array(*own) if own else none))
+    return join_null_safe(looked, spread, [*on, "__block"]).drop("__block")
+
+
 def attach_group(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
     """Add per-group aggregates to every row.
 

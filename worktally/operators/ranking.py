@@ -74,6 +74,17 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     return out.withColumn(into, F.col("__start") + F.coalesce("__part", F.lit(0))).drop("__id", "__piece", "__start", "__part")
 
 
+def carried_over(df: DataFrame, col: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last known ``col`` up to each row of its group; see ``fill.carry_forward``."""
+    placed = _placed(df, by, list(dict.fromkeys([*order, col])))
+    ends = placed.groupBy(*by, "__piece").agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col("__id"))).alias("__end"))
+    starts = ends.select(*by, "__piece", F.last("__end", ignorenulls=True).over(_earlier(by)).alias("__start"))
+    inside = Window.partitionBy(*by, "__piece").orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.withColumn("__last", F.last(col, ignorenulls=True).over(inside))
+    out = join_null_safe(out, starts, [*by, "__piece"], "left")
+    return out.withColumn(col, F.coalesce("__last", "__start")).select(*df.columns)
+
+
 def first_appearance_rank(
     df: DataFrame, item: str, axis: str, weight: str, into: str = "rank", by: Sequence[str] = ()
 ) -> DataFrame:

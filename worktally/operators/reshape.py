@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktally.functions.scalars import weekday_label
 from worktally.operators.joins import join_null_safe
+from worktally.operators.ranking import numbered
+from worktally.session import stored
 
 # Column labels of a week, Monday first.
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
@@ -81,3 +84,35 @@ def complete(
     grid = grid.withColumn("__axis", F.explode("__axis")).select(*by, key, F.col(f"__axis.{axis}").alias(axis))
     out = join_null_safe(grid, df, [*by, key, axis], "left").select(*df.columns)
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (fill or {}).items()})
+
+
+def complete_keys(df: DataFrame, keys: Sequence[str], fill: dict | None = None) -> DataFrame:
+    """Add a row for every absent combination of the values of two or more key columns.
+
+    The values of each key are numbered; a combination is one whole number with a digit for
+    each key. The numbers that do not occur are taken from a range that Spark generates in
+    parts, and their digits joined back to values, so that no product is nested and any axis
+    may be large. Rows of ``df`` pass through as they are; only its distinct combinations are
+    compared. Missing is a value of its key. ``fill`` replaces missing values of other
+    columns, those that were there before included. The driver sees the size of each axis;
+    more than 2**63 - 1 combinations are an error.
+    """
+    keys, spark = list(keys), df.sparkSession
+    present = stored(df.select(*keys).distinct(), "present")
+    axes = [stored(numbered(present.select(k).distinct(), [], [k], f"__at{i}"), "axis") for i, k in enumerate(keys)]
+    sizes = [axis.count() for axis in axes]
+    strides = [prod(sizes[i + 1 :]) for i in range(len(keys))]
+    if prod(sizes) >= 2**63:
+        raise ValueError(f"{prod(sizes)} combinations of {keys}")
+    coded = present
+    for k, axis in zip(keys, axes):
+        coded = join_null_safe(coded, axis, [k])
+    code = sum(((F.col(f"__at{i}") - 1) * F.lit(stride) for i, stride in enumerate(strides)), F.lit(0))
+    absent = spark.range(prod(sizes)).join(coded.select(code.cast("long").alias("id")), "id", "left_anti")
+    digits = [F.expr(f"id div {stride} % {size} + 1") for stride, size in zip(strides, sizes)] if prod(sizes) else [F.lit(0)] * len(keys)
+    grid = absent.select(*[digit.alias(f"__at{i}") for i, digit in enumerate(digits)])
+    for i, axis in enumerate(axes):
+        grid = grid.join(axis, f"__at{i}")
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in df.schema.fields if f.name not in keys}
+    out = df.unionByName(grid.select(*[rest.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]))
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (fill or {}).items()})

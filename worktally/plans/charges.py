@@ -101,8 +101,8 @@ def derive_projects(charges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def prepare_projects(plan: DataFrame, default_year: int | None = None) -> DataFrame:
-    """Plan sheet typed: open plans end with the latest one, subcode never missing."""
+def prepare_projects(plan: DataFrame, default_year: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Plan sheet typed: open plans end with the latest one (of their ``by`` group), subcode never missing."""
     typed = nan_to_null(plan).withColumns(
         {
             "year": F.col("year").cast("int"),
@@ -112,7 +112,7 @@ def prepare_projects(plan: DataFrame, default_year: int | None = None) -> DataFr
             "budgeted": F.col("budgeted").cast("double"),
         }
     )
-    typed = fill_const(fill_with_max(typed, "enddate"), {"subcode": ""})
+    typed = fill_const(fill_with_max(typed, "enddate", by), {"subcode": ""})
     return typed if default_year is None else fill_const(typed, {"year": default_year})
 
 
