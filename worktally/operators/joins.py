@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Blocks of a binned range join: this many of one level make one of the next.
-BLOCK = 32
-LEVELS = 4
+BLOCK = 8
+LEVELS = 6
+BLOCKS = "array<struct<level:int,number:bigint>>"
 
 
 def join_null_safe(
@@ -76,21 +77,23 @@ def _blocks(start: Column, end: Column) -> Column:
     On every level the ragged ends up to the next whole block are spelled out and the middle
     goes on one level up: at most ``2 * (BLOCK - 1)`` blocks for each level but the last.
     """
-    parts, a, b, inside = [], start, end, F.lit(True)
+    none = F.array().cast(BLOCKS)
 
-    def spelled(level: int, first: Column, last: Column, when: Column) -> Column:
-        numbers = F.sequence(first, F.greatest(last, first))
-        named = F.transform(numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("number")))
-        return F.when(when & (first <= last), named).otherwise(F.slice(named, 1, 0))
+    def spelled(level: Column, first: Column, last: Column) -> Column:
+        named = F.transform(F.sequence(first, last), lambda n: F.struct(level.alias("level"), n.alias("number")))
+        return F.when(first <= last, named).otherwise(none)
 
-    for level in range(LEVELS):
+    def step(state: Column, level: Column) -> Column:
+        a, b, done = state["a"], state["b"], state["blocks"]
         up, down = F.ceil(a / BLOCK).cast("long"), F.floor((b + 1) / BLOCK).cast("long") - 1
-        goes_on = inside & (up <= down) if level < LEVELS - 1 else F.lit(False)
-        parts.append(spelled(level, a, b, inside & ~goes_on))
-        if level < LEVELS - 1:
-            parts += [spelled(level, a, up * BLOCK - 1, goes_on), spelled(level, (down + 1) * BLOCK, b, goes_on)]
-        a, b, inside = up, down, goes_on
-    return F.concat(*parts)
+        goes_on = state["open"] & (up <= down) & (level < LEVELS - 1)
+        ends = F.concat(done, spelled(level, a, up * BLOCK - 1), spelled(level, (down + 1) * BLOCK, b))
+        blocks = F.when(goes_on, ends).when(state["open"], F.concat(done, spelled(level, a, b))).otherwise(done)
+        middle = F.when(goes_on, up).otherwise(a), F.when(goes_on, down).otherwise(b)
+        return F.struct(middle[0].alias("a"), middle[1].alias("b"), goes_on.alias("open"), blocks.alias("blocks"))
+
+    begin = F.struct(start.alias("a"), end.alias("b"), F.lit(True).alias("open"), none.alias("blocks"))
+    return F.aggregate(F.array(*[F.lit(n) for n in range(LEVELS)]), begin, step, lambda state: state["blocks"])
 
 
 def binned_validity_join(
@@ -103,7 +106,7 @@ def binned_validity_join(
 ) -> DataFrame:
     """``validity_join`` for keys with many ranges, or for no key at all (``on=[]``).
 
-    A range is cut into aligned blocks of days, 32 days, 1,024 days and 32,768 days; a row looks
+    A range is cut into aligned blocks of 1, 8, 64, 512, 4,096 and 32,768 days; a row looks
     up the block of its date on each level that occurs. The join is on equal key and
     block, a date lies in one block of a range only, so the pairs formed are the pairs
     returned, and the rows of a hot key are spread over its blocks. The driver sees the levels.
@@ -118,8 +121,7 @@ def binned_validity_join(
     spread = usable.withColumn("__block", F.explode(_blocks(number(start), number(end))))
     levels = sorted(r[0] for r in spread.select("__block.level").distinct().collect())
     own = [F.struct(F.lit(n).alias("level"), F.floor(number(date) / F.lit(BLOCK**n)).cast("long").alias("number")) for n in levels]
-    none = F.array().cast("array<struct<level:int,number:bigint>>")
-    looked = left.filter(F.col(date).isNotNull()).withColumn("__block", F.explode(F.array(*own) if own else none))
+    looked = left.filter(F.col(date).isNotNull()).withColumn("__block", F.explode(F.array(*own).cast(BLOCKS)))
     return join_null_safe(looked, spread, [*on, "__block"]).drop("__block")
 
 
