@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from worktally.operators import cleaning, joins, quantiles, reshape
 from worktally.operators.fill import carry_forward, fill_down
+from worktally.plans.charges import prepare_projects
 
 DAY = dt.date(2024, 1, 1)
 DATES = "date date", "startdate date, enddate date"
@@ -144,3 +145,12 @@ def test_complete_keys_with_a_large_axis(spark):
 def test_fill_with_max_by(spark, rows):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 4), (None, None), ("b", None)], "g string, x int")
     assert rows(cleaning.fill_with_max(df, "x", ["g"])) == [("a", 1), ("a", 1), ("b", None), (None, 4), (None, 4)]
+
+
+def test_prepare_projects_by(spark):
+    plan = spark.createDataFrame(
+        [("p", "2026", "2026-01-05", "2026-03-01"), ("p", "2026", "2026-01-05", None), ("q", "2026", "2026-01-05", "2026-09-01"), ("q", "2026", "2026-02-02", None)],
+        "person string, year string, startdate string, enddate string",
+    ).withColumns({"subcode": F.lit(None).cast("string"), "budgeted": F.lit("1")})
+    ends = {(r["person"], str(r["enddate"])) for r in prepare_projects(plan, by=["person"]).collect()}
+    assert ends == {("p", "2026-03-01"), ("q", "2026-09-01")}
