@@ -50,9 +50,9 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), id_key(doc_id))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def weighted_sources(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Give sources, by code point and missing last, the weights in turn; ranks come from sorted ranges and the rows before them."""
-    parts = split_count(totals.count(), SOURCES_PER_TASK)
+def weighted_sources(totals: DataFrame, n: int, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """Give the ``n`` sources, by code point and missing last, the weights in turn; ranks come from sorted ranges and the rows before them."""
+    parts = split_count(n, SOURCES_PER_TASK)
     order = [F.col("source").isNull(), F.col("source")]
     ranged = stored(totals.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "mix-sources")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,12 +78,12 @@ def with_targets(sources: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     return sources.withColumn("target", target)
 
 
-def inclusion_factors(sized: DataFrame, sources: DataFrame) -> DataFrame:
+def inclusion_factors(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     """(source, factor): the ``c`` of inclusion probabilities min(1, c * size) whose expected words are the budget; no row where all are 1.
 
     Works on the distinct sizes of a source, at most the words of its longest text.
     """
-    fits = of_source(sized, sources).filter((F.col("size") > 0) & (F.col("size") <= F.col("budget")))
+    fits = of_source(sized, sources, n).filter((F.col("size") > 0) & (F.col("size") <= F.col("budget")))
     sizes = fits.groupBy("source", "size").agg(F.count("*").alias("n"), F.first("budget").alias("budget"))
     larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     others = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,32 +106,30 @@ def place(doc_id: Column, size: Column, seed: str) -> Column:
     return F.struct(ranking(doc_id, size, seed).alias("rank"), id_key(doc_id).alias("id"), size.alias("size"))
 
 
-def _rounds(units: DataFrame, sources: DataFrame, parts: int) -> DataFrame:
+def _rounds(units: DataFrame, sources: DataFrame, n: int, parts: int) -> DataFrame:
     """(source, from, to, gap): documents between two places that are not longer than the gap are taken; no ``to``: up to the end.
 
     ``units`` lie in so many ranges of (source, place), so there are at most as many sums as ranges and sources together.
     """
-    n = sources.count()
     few_sums, few_sources = split_count(parts + n, SOURCES_PER_TASK), split_count(n, SOURCES_PER_ROUND)
     start = F.struct(F.lit(-2.0).alias("rank"), F.lit("").alias("id"), F.lit(0).cast("long").alias("size"))
     state = stored(sources.filter("budget > 0").select("source", start.alias("from"), F.col("budget").alias("gap")), "mix-state")
     rounds = []
     while True:
-        open_ = of_source(units, state).filter((F.col("place") > F.col("from")) & (F.col("place.size") <= F.col("gap")))
+        open_ = of_source(units, state, n).filter((F.col("place") > F.col("from")) & (F.col("place.size") <= F.col("gap")))
         sums = open_.groupBy("source", "part").agg(F.sum("own").alias("held"), F.first("gap").alias("gap"))
         up_to = Window.partitionBy("source").orderBy("part")
         sums = sums.repartition(few_sums, "source").withColumn("upto", F.sum("held").over(up_to)).filter(F.col("upto") > F.col("gap"))
         ends = sums.groupBy("source").agg(F.min("part").alias("end_part"), F.min_by(F.col("upto") - F.col("held"), "part").alias("before"))
-        ends = stored(ends, "mix-ends")
-        inside = of_source(open_, ends).filter(F.col("part") == F.col("end_part")).repartition(few_sources, "source")
+        inside = of_source(open_, ends, n).filter(F.col("part") == F.col("end_part")).repartition(few_sources, "source")
         inside = inside.withColumn("upto", F.col("before") + F.sum("own").over(Window.partitionBy("source").orderBy("place")))
         over = inside.filter(F.col("upto") > F.col("gap")).groupBy("source").agg(F.min(F.struct("place", (F.col("gap") - F.col("upto") + F.col("own")).alias("gap"))).alias("next"))
         onward = stored(over.select("source", F.col("next.place").alias("from"), F.col("next.gap").alias("gap")), "mix-state")
         following = onward.select("source", F.col("from").alias("to"))
         named = following.withColumnRenamed("source", "__source")
-        rounds.append(state.join(few(named), state["source"].eqNullSafe(named["__source"]), "left").select("source", "from", "to", "gap"))
-        if not onward.limit(1).count():
-            return stored(reduce(DataFrame.unionByName, rounds), "mix-rounds")
+        rounds.append(state.join(few(named, n), state["source"].eqNullSafe(named["__source"]), "left").select("source", "from", "to", "gap"))
+        if onward.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
         state = onward
 
 
@@ -140,34 +138,35 @@ def mixing_plan(sized: DataFrame, seed: str) -> DataFrame:
 
     ``sized`` has doc_id, source and size.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    sources = with_targets(weighted_sources(totals))
+    totals = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "mix-totals")
+    n, docs = totals.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    sources = with_targets(weighted_sources(totals, n))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = sources.withColumn("whole", F.floor(ratio))
     sources = stored(sources.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    factors = stored(inclusion_factors(sized, sources).withColumnRenamed("source", "__source"), "mix-factors")
-    sources = sources.join(few(factors), sources["source"].eqNullSafe(factors["__source"]), "left").drop("__source")
+    factors = inclusion_factors(sized, sources, n).withColumnRenamed("source", "__source")
+    sources = sources.join(few(factors, n), sources["source"].eqNullSafe(factors["__source"]), "left").drop("__source")
     sources = stored(sources.withColumn("factor", F.coalesce("factor", F.lit(float("inf")))), "mix-sources")
 
-    ranked = of_source(sized, sources).filter("size > 0 and budget > 0")
+    ranked = of_source(sized, sources, n).filter("size > 0 and budget > 0")
     ranked = ranked.select("source", "budget", place(F.col("doc_id"), F.col("size"), seed).alias("place"))
     units = ranked.groupBy("source", "budget", "place").agg(F.count("*").alias("n")).select("source", "budget", "place", (F.col("n") * F.col("place.size")).alias("own"))
-    parts = split_count(sized.count(), DOCS_PER_RANGE)
+    parts = split_count(docs, DOCS_PER_RANGE)
     ranged = units.repartitionByRange(parts, "source", "place")
     units = stored(ranged.withColumn("part", F.spark_partition_id()), "mix-units")
-    steps = _rounds(units.filter(F.col("place.size") <= F.col("budget")).drop("budget"), sources, parts)
+    steps = _rounds(units.filter(F.col("place.size") <= F.col("budget")).drop("budget"), sources, n, parts)
     steps = stored(steps.groupBy("source").agg(F.collect_list(F.struct("from", "to", "gap")).alias("steps")), "mix-steps")
 
     # The words still missing, and the document left that comes closest to them.
-    decided = of_source(units, steps).withColumn("taken", stepped(F.col("place")))
-    gaps = stored(decided.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("taken"), F.col("own")).otherwise(0))).alias("gap")), "mix-gaps")
+    decided = of_source(units, steps, n).withColumn("taken", stepped(F.col("place")))
+    gaps = decided.groupBy("source").agg((F.first("budget") - F.sum(F.when(F.col("taken"), F.col("own")).otherwise(0))).alias("gap"))
     miss = F.abs(F.col("own") - F.col("gap"))
-    left = of_source(decided, gaps).filter(~F.col("taken") & (miss < F.col("gap")))
+    left = of_source(decided, gaps, n).filter(~F.col("taken") & (miss < F.col("gap")))
     closing = left.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "place.id", "place.size")).alias("closing"))
     plan = sources
     for more in (steps, closing):
-        named = stored(more.withColumnRenamed("source", "__source"), "mix-more")
-        plan = plan.join(few(named), plan["source"].eqNullSafe(named["__source"]), "left").drop("__source")
+        named = more.withColumnRenamed("source", "__source")
+        plan = plan.join(few(named, n), plan["source"].eqNullSafe(named["__source"]), "left").drop("__source")
     return stored(plan.select("source", "source_size", "target", "whole", "factor", "steps", F.struct("closing.id", "closing.size").alias("closing")), "mix-plan")
 
 
@@ -177,15 +176,16 @@ def stepped(at: Column) -> Column:
     return F.coalesce(F.exists("steps", inside), F.lit(False))
 
 
-def few(sources: DataFrame) -> DataFrame:
-    """Broadcast a stored table of sources if it is small."""
-    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+def few(sources: DataFrame, n: int) -> DataFrame:
+    """Broadcast a table with a row for some or all of ``n`` sources if they are few."""
+    return F.broadcast(sources) if n <= BROADCAST_SOURCES else sources
 
 
-def of_source(df: DataFrame, sources: DataFrame) -> DataFrame:
-    """Put the figures of its source beside each row; a missing source is a source."""
+def of_source(df: DataFrame, sources: DataFrame, n: int | None = None) -> DataFrame:
+    """Put the figures of its source beside each row; a missing source is a source. ``n`` bounds the sources, which else are counted."""
+    n = sources.count() if n is None else n
     sources = sources.withColumnRenamed("source", "__source")
-    return df.join(few(sources), df["source"].eqNullSafe(sources["__source"])).drop("__source")
+    return df.join(few(sources, n), df["source"].eqNullSafe(sources["__source"])).drop("__source")
 
 
 def copies(doc_id: Column, size: Column, seed: str) -> Column:
@@ -213,7 +213,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     _, plan = mix(docs, seed)
     names = {c: f"__mix_{c}" for c in plan.columns}
     plan = plan.withColumnsRenamed(names)
-    joined = docs.join(few(plan), docs["source"].eqNullSafe(plan["__mix_source"]))
+    joined = docs.join(few(plan, plan.count()), docs["source"].eqNullSafe(plan["__mix_source"]))
     figures = {c: F.col(f"__mix_{c}") for c in ("whole", "factor", "steps", "closing")}
     taken = joined.select(*[joined[f"`{c}`"].alias(f"__doc_{i}") for i, c in enumerate(docs.columns)], joined["doc_id"].alias("__id"), words(joined["text"]).alias("__size"), *[v.alias(k) for k, v in figures.items()])
     taken = taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("__id"), F.col("__size"), seed))))
