@@ -101,6 +101,19 @@ def test_one_to_one(spark, rows):
     assert rows(cleaning.get_one_to_one(df)) == [(1, "height"), (1, "id"), (1, "name")]
 
 
+def test_one_to_one_with_missing_values_on_both_sides(spark, rows):
+    df = spark.createDataFrame([(None, "v", 1), ("v", None, 1), (None, "v", 2)], "a string, b string, c int")
+    assert rows(cleaning.get_one_to_one(df)) == [(1, "a"), (1, "b")]
+
+
+def test_one_to_one_counts_few_of_many_columns(spark, rows, monkeypatch):
+    df = spark.range(2_000).selectExpr(*[f"hash(id, {i}) % {3 + i * 7} AS c{i}" for i in range(200)]).selectExpr("*", "c7 * 10 AS twin", "cast(c150 AS string) AS `text 150`")
+    counted, plain = [], cleaning.F.count_distinct
+    monkeypatch.setattr(cleaning.F, "count_distinct", lambda *a: counted.append(a) or plain(*a))
+    assert rows(cleaning.get_one_to_one(df)) == [(1, "c7"), (1, "twin"), (2, "c150"), (2, "text 150")]
+    assert len(counted) < 20
+
+
 def test_one_to_one_needs_more_than_equal_counts(spark, rows):
     df = spark.createDataFrame([(1, "a", 10), (1, "b", 10), (2, "a", 20)], "x int, y string, z int")
     assert rows(cleaning.get_one_to_one(df)) == [(1, "x"), (1, "z")]

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from worktally.session import shared_dir, stored
-from worktally.sources import audit, feeds
+from worktally.sources import audit, feeds, versions
 
 
 @pytest.fixture
@@ -113,6 +113,34 @@ def test_snapshot_and_stored(spark, tmp_path, rows):
     assert shared_dir(spark) in kept.inputFiles()[0]
 
 
+def test_versions_do_not_disturb_each_other(spark, tmp_path, rows):
+    path = str(tmp_path / "v")
+    with pytest.raises(FileNotFoundError):
+        versions.newest(spark, path)
+    first = versions.publish(spark.range(5), path)
+    lazy = versions.newest(spark, path).selectExpr("id * 2 AS x")
+    versions.publish(spark.range(7), path)
+    spark.range(99).write.parquet(f"{path}/data-half")
+    assert versions.newest(spark, path).count() == 7 and first.count() == 5 and rows(lazy) == [(0,), (2,), (4,), (6,), (8,)]
+    # Young versions and half-written data stay whatever is to be kept.
+    assert versions.sweep(spark, path, keep=1) == []
+    assert lazy.count() == 5 and len(versions.published(spark, path)) == 2
+    third = versions.publish(spark.range(0), path, keep=2, grace_hours=0)
+    assert len(versions.published(spark, path)) == 2 and third.columns == ["id"]
+    assert sorted(p.name[:5] for p in (tmp_path / "v").iterdir()) == ["_publ", "data-", "data-"]
+    assert versions.newest(spark, path).count() == 0
+
+
+def test_writers_at_once_both_publish(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "w")
+    with ThreadPoolExecutor(4) as pool:
+        sizes = [df.count() for df in pool.map(lambda n: versions.publish(spark.range(n), path), range(1, 9))]
+    assert sizes == list(range(1, 9)) and len(versions.published(spark, path)) == 8
+    assert versions.newest(spark, path).count() in sizes
+
+
 @pytest.fixture
 def three(spark):
     df1 = spark.createDataFrame([(1, "big"), (2, "small")], "a int, b string")

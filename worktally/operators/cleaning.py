@@ -147,25 +147,46 @@ def single_value(df: DataFrame, by: Sequence[str], col: str, into: str | None =
     return join_null_safe(df, values, by, "left").withColumn(into, F.col("__only")).drop("__only")
 
 
+#: Sketches of 2**14 registers: two estimates of one number differ by more than this share with about seven standard errors.
+SKETCH_LOG2, SKETCH_ERROR = 14, 0.08
+SKETCHES_AT_ONCE = 500
+
+
+def _estimates(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """About how many distinct rows each set of columns has; missing is a value."""
+    found: dict[tuple[str, ...], int] = {}
+    for at in range(0, len(sets), SKETCHES_AT_ONCE):
+        some = sets[at : at + SKETCHES_AT_ONCE]
+        # The hash passes over missing values, so each is told by a flag.
+        hashes = [F.xxhash64(*[x for c in names for x in (df[f"`{c}`"], df[f"`{c}`"].isNull())]) for names in some]
+        found |= zip(some, df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(h, F.lit(SKETCH_LOG2))) for h in hashes]).first())
+    return found
+
+
 def get_one_to_one(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Clusters of columns in a one-to-one relation, values need not be equal.
 
     Two columns are one-to-one exactly when each column and the pair have the
-    same number of distinct values (missing counts as a value). A first pass
-    counts single columns; only pairs with equal counts are counted at all.
-    Both passes return one row of numbers.
+    same number of distinct values (missing counts as a value). Sketches, which
+    merge and shuffle no values, estimate the columns in one pass and the pairs of
+    about equal columns in another; only what they cannot tell apart is counted
+    exactly, in a last pass. An estimate rules a pair out when it is off by more
+    than ``SKETCH_ERROR``, far beyond what a sketch errs. Each pass returns one row.
     """
     cols = list(cols or df.columns)
 
-    def distinct_count(*names: str) -> Column:
-        return F.count_distinct(F.struct(*names))
+    def near(x: int, y: int) -> bool:
+        return abs(x - y) <= max(1, SKETCH_ERROR * max(x, y))
 
-    singles = dict(zip(cols, df.agg(*[distinct_count(c) for c in cols]).first()))
-    pairs = [(a, b) for a, b in combinations(cols, 2) if singles[a] == singles[b]]
-    joint = dict(zip(pairs, df.agg(*[distinct_count(a, b) for a, b in pairs]).first())) if pairs else {}
+    singles = _estimates(df, [(c,) for c in cols])
+    pairs = [(a, b) for a, b in combinations(cols, 2) if near(singles[a,], singles[b,])]
+    together = _estimates(df, pairs)
+    pairs = [(a, b) for a, b in pairs if near(together[a, b], singles[a,]) and near(together[a, b], singles[b,])]
+    open_ = [*dict.fromkeys((c,) for pair in pairs for c in pair), *pairs]
+    exact = dict(zip(open_, df.agg(*[F.count_distinct(F.struct(*[f"`{c}`" for c in names])) for names in open_]).first())) if open_ else {}
     leader = {c: c for c in cols}
-    for (a, b), together in joint.items():
-        if together == singles[a] and leader[b] == b:
+    for a, b in pairs:
+        if exact[a, b] == exact[a,] == exact[b,] and leader[b] == b:
             leader[b] = leader[a]
     heads = [c for c in cols if leader[c] == c and c in [leader[o] for o in cols if o != c]]
     found = [(heads.index(leader[c]) + 1, c) for c in cols if leader[c] in heads]
