@@ -73,6 +73,38 @@ def test_binned_join_equals_the_plain_one(spark, rows):
         joins.binned_validity_join(days.withColumn("date", F.col("date").cast("timestamp")), ranges, ["k"])
 
 
+@pytest.mark.parametrize("pairs", [0, 1_000, 20_000, 1_000_000])
+def test_binned_join_of_few_and_of_crowded_keys(spark, rows, monkeypatch, pairs):
+    monkeypatch.setattr(joins, "PAIRS", pairs)
+    days = spark.range(3_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 30 <> 1 THEN concat('k', id % 70) END AS k", "date_add(DATE'1969-06-20', int(id * 37 % 900)) AS date", "id AS i"
+    )
+    ranges = spark.range(500).selectExpr(
+        "CASE WHEN id % 4 = 0 THEN 'hot' WHEN id % 30 <> 1 THEN concat('k', id % 90) END AS k", "date_add(DATE'1969-06-01', int(id * 61 % 900)) AS startdate", "id AS r"
+    ).selectExpr("k", "startdate", "date_add(startdate, int(CASE r % 50 WHEN 7 THEN 60000 WHEN 8 THEN -1 ELSE r * 7 % 400 END)) AS enddate", "r")
+    names = ["k", "date", "i", "startdate", "enddate", "r"]
+    want = rows(joins.validity_join(days, ranges, ["k"]), *names)
+    assert want and rows(joins.binned_validity_join(days, ranges, ["k"]), *names) == want
+
+
+def test_binned_join_sends_few_rows_for_a_range_of_a_key_with_few(spark):
+    """A range of up to 400 days met its key as about 17 rows, whatever the key held."""
+    days = spark.range(2_000).selectExpr("id % 500 AS k", "date_add(DATE'2000-01-01', int(id * 37 % 2400)) AS date")
+    ranges = days.selectExpr("k", "date AS startdate", "date_add(date, int(k % 400)) AS enddate")
+    want = joins.validity_join(days, ranges, ["k"]).count()
+    spread = []
+    joined = joins.join_null_safe
+
+    def watched(left, right, *args):
+        spread.append((left.count(), right.count()))
+        return joined(left, right, *args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(joins, "join_null_safe", watched)
+        assert joins.binned_validity_join(days, ranges, ["k"]).count() == want
+    assert len(spread) == 1 and spread[0][0] == 2_000 and spread[0][1] <= 2 * 2_000
+
+
 def test_binned_join_needs_no_key_and_tests_no_range(spark, rows):
     days = spark.range(300).selectExpr("date_add(DATE'2000-01-01', int(id)) AS date")
     ranges = spark.range(2_000).selectExpr("date_add(DATE'2000-01-01', int(id * 7 % 290)) AS startdate", "int(id % 40) AS n").selectExpr(
@@ -94,6 +126,14 @@ def test_blocks_hold_each_day_once(spark):
         assert days == list(range(a, b + 1)) and len(blocks) <= 14 * 5 + 2
 
 
+def test_coarse_blocks_hold_whole_blocks_once(spark):
+    spans = [(a, a + n) for a in (-70_001, -33, 0, 511, 512, 1_023) for n in (0, 1, 511, 512, 4_500, 40_000)]
+    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", joins._blocks(F.col("a"), F.col("b"), 3).alias("blocks"))
+    for a, b, blocks in df.collect():
+        size = {x: joins.BLOCK ** (x.level - 3) for x in blocks}
+        assert sorted(n for x in blocks for n in range(x.number * size[x], (x.number + 1) * size[x])) == list(range(a // 512, b // 512 + 1))
+
+
 @pytest.mark.parametrize("partitions", ["1", "16"])
 def test_carry_forward_through_one_large_group(spark, partitions):
     old = spark.conf.get("spark.sql.shuffle.partitions")

@@ -15,9 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from worktally.session import stored
+
 # Blocks of a binned range join: this many of one level make one of the next.
 BLOCK = 8
 LEVELS = 6
+# Keys of at most so many pairs of a row and a range take blocks from this level on (512 days).
+# Testing a pair costs about a thousandth of sorting and sending the small blocks of a range.
+PAIRS = 1_000_000
+COARSE = 3
 BLOCKS = "array<struct<level:int,number:bigint>>"
 
 
@@ -71,11 +77,12 @@ def validity_join(
     return join_null_safe(left, ranges, on, "inner", inside)
 
 
-def _blocks(start: Column, end: Column) -> Column:
+def _blocks(start: Column, end: Column, finest: int = 0) -> Column:
     """Aligned blocks (level, number) of ``BLOCK ** level`` days that fill a range of day numbers, each day once.
 
     On every level the ragged ends up to the next whole block are spelled out and the middle
-    goes on one level up: at most ``2 * (BLOCK - 1)`` blocks for each level but the last.
+    goes on one level up: at most ``2 * (BLOCK - 1)`` blocks for each level but the last. With
+    a ``finest`` level, ends inside a block of that level count as the whole block.
     """
     none = F.array().cast(BLOCKS)
 
@@ -92,8 +99,37 @@ def _blocks(start: Column, end: Column) -> Column:
         middle = F.when(goes_on, up).otherwise(a), F.when(goes_on, down).otherwise(b)
         return F.struct(middle[0].alias("a"), middle[1].alias("b"), goes_on.alias("open"), blocks.alias("blocks"))
 
-    begin = F.struct(start.alias("a"), end.alias("b"), F.lit(True).alias("open"), none.alias("blocks"))
-    return F.aggregate(F.array(*[F.lit(n) for n in range(LEVELS)]), begin, step, lambda state: state["blocks"])
+    a, b = _block_of(start, finest), _block_of(end, finest)
+    begin = F.struct(a.alias("a"), b.alias("b"), F.lit(True).alias("open"), none.alias("blocks"))
+    return F.aggregate(F.array(*[F.lit(n) for n in range(finest, LEVELS)]), begin, step, lambda state: state["blocks"])
+
+
+def _block_of(day: Column, level: int) -> Column:
+    return F.floor(day / F.lit(BLOCK**level)).cast("long")
+
+
+def _crowded(left: DataFrame, ranges: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys whose rows and ranges make more than ``PAIRS`` pairs, or that have as many of either."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = left.select(*on, one.alias("__rows"), none.alias("__ranges")).union(
+        ranges.select(*on, none.alias("__rows"), one.alias("__ranges"))
+    )
+    counts = both.groupBy(*on).agg(F.sum("__rows").alias("__rows"), F.sum("__ranges").alias("__ranges"))
+    pairs = F.greatest("__rows", F.lit(1)).cast("double") * F.greatest("__ranges", F.lit(1))
+    return counts.filter(pairs > PAIRS).select(*on)
+
+
+def _binned(left: DataFrame, ranges: DataFrame, on: Sequence[str], date: str, start: str, end: str, finest: int) -> DataFrame:
+    """Join on key and block, of blocks from level ``finest`` on; only blocks of one day need no test of the ends."""
+    number = lambda c: F.unix_date(c).cast("long")
+    # One whole number names a block: its own number and its level as last digit.
+    named = F.transform(_blocks(number(start), number(end), finest), lambda b: b["number"] * LEVELS + b["level"])
+    spread = ranges.withColumn("__block", F.explode(named))
+    levels = sorted(r[0] for r in spread.select(F.pmod("__block", F.lit(LEVELS))).distinct().collect())
+    own = F.array(*[_block_of(number(date), n) * LEVELS + n for n in levels]).cast("array<bigint>")
+    looked = left.withColumn("__block", F.explode(own))
+    inside = (F.col(date) >= F.col(start)) & (F.col(date) <= F.col(end)) if finest else None
+    return join_null_safe(looked, spread, [*on, "__block"], "inner", inside).drop("__block")
 
 
 def binned_validity_join(
@@ -109,20 +145,25 @@ def binned_validity_join(
     A range is cut into aligned blocks of 1, 8, 64, 512, 4,096 and 32,768 days; a row looks
     up the block of its date on each level that occurs. The join is on equal key and
     block, a date lies in one block of a range only, so the pairs formed are the pairs
-    returned, and the rows of a hot key are spread over its blocks. The driver sees the levels.
+    returned, and the rows of a hot key are spread over its blocks.
+
+    Keys with at most ``PAIRS`` pairs of a row and a range are cut into blocks of
+    ``BLOCK ** COARSE`` days and larger, so that a range becomes few rows; there the
+    ends are tested, at most ``PAIRS`` times for a key. The driver sees the levels.
     Ranges without a start or end, or that end before they start, contain no date. All
     three columns must be dates.
     """
     for df, c in ((left, date), (ranges, start), (ranges, end)):
         if not isinstance(df.schema[c].dataType, T.DateType):
             raise TypeError(f"{c} must be a date column")
-    number = lambda c: F.unix_date(c).cast("long")
-    usable = ranges.filter(F.col(start) <= F.col(end))
-    spread = usable.withColumn("__block", F.explode(_blocks(number(start), number(end))))
-    levels = sorted(r[0] for r in spread.select("__block.level").distinct().collect())
-    own = [F.struct(F.lit(n).alias("level"), F.floor(number(date) / F.lit(BLOCK**n)).cast("long").alias("number")) for n in levels]
-    looked = left.filter(F.col(date).isNotNull()).withColumn("__block", F.explode(F.array(*own).cast(BLOCKS)))
-    return join_null_safe(looked, spread, [*on, "__block"]).drop("__block")
+    left, ranges = left.filter(F.col(date).isNotNull()), ranges.filter(F.col(start) <= F.col(end))
+    if not on:
+        return _binned(left, ranges, on, date, start, end, 0)
+    crowded = stored(_crowded(left, ranges, on), "crowded")
+    if crowded.isEmpty():
+        return _binned(left, ranges, on, date, start, end, COARSE)
+    few, many = ([join_null_safe(df, crowded, on, how) for df in (left, ranges)] for how in ("left_anti", "left_semi"))
+    return _binned(*few, on, date, start, end, COARSE).union(_binned(*many, on, date, start, end, 0))
 
 
 def attach_group(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
