@@ -116,6 +116,41 @@ def test_combine_equals_the_plain_validity_join(spark, rows, mixed):
         assert combined.filter("length IS NULL AND hours = 0").count() > 0
 
 
+def test_combine_and_months_of_missing_people_and_weeks(spark, rows, mixed):
+    from worktally.operators.joins import union_feeds, validity_join
+
+    person = F.when(F.col("person") == 0, F.col("person"))
+    raw = mixed.withColumn("person", person).withColumn("period", F.when(F.dayofmonth("date") % 9 != 4, F.col("period")))
+    charges = ch.type_charges(raw, ["person"], need_hours=False)
+    charges = union_feeds(charges, charges.limit(30).withColumn("period", F.lit(None).cast("date")))
+    projects = ch.derive_projects(charges, ["person"])
+    everything = union_feeds(ch.with_counts(charges), ch.blank_weeks(charges, projects, ["person"]))
+    plain = validity_join(everything, projects, ["person", "year", "project", "code"]).drop("startdate", "enddate")
+    combined = ch.combine(charges, ["person"])
+    assert rows(combined.select(*sorted(combined.columns))) == rows(plain.select(*sorted(plain.columns)))
+    assert rows(ch.combine(ch.collapse(charges), ["person"]).drop("hours", "n", "missing").distinct()) == rows(
+        combined.drop("hours", "n", "missing").select(*ch.collapse(charges).drop("hours", "n", "missing").columns).distinct()
+    )
+    # Each person's months are what that person alone would have.
+    together = mo.monthly(combined, ["person"])
+    for one in (F.col("person").isNull(), F.col("person") == 0):
+        alone = mo.monthly(ch.combine(charges.filter(one).drop("person")))
+        assert rows(together.filter(one).drop("person")) == rows(alone) != []
+
+
+def test_what_is_sent_for_codes_and_weeks(spark, mixed, monkeypatch):
+    """Entries with a code were sent to the filling join, and a range as one row for each of its weeks."""
+    from worktally.operators import fill
+
+    joined, sent = fill.join_null_safe, []
+    monkeypatch.setattr(fill, "join_null_safe", lambda left, *args: sent.append(left.count()) or joined(left, *args))
+    typed = ch.type_charges(mixed, ["person"])
+    fill.fill_down(typed, "code", ["person", "project"]).count()
+    assert sent == [typed.filter("code IS NULL").count()] and 0 < sent[0] < typed.count()
+    for charges in (typed, ch.collapse(typed)):
+        assert "sequence(" not in ch.combine(charges, ["person"])._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blank_weeks_do_not_change_the_week_table(spark, rows, mixed):
     charges = ch.charge_ledger(mixed)
     done = str(day(28))

@@ -31,8 +31,8 @@ def fill_down(df: DataFrame, col: str, by: Sequence[str], date: str = "date") ->
     ``col`` with missing last, so the value to carry is the largest one of the
     latest date that has any. It is found on a summary of one row per group and
     date: that window holds at most as many rows as the calendar has days, no
-    matter how many records a hot group has. The records themselves are joined
-    to the summary and are never sorted. Where ``date`` is no date, days do not
+    matter how many records a hot group has. The records that miss a value are
+    joined to the summary and are never sorted. Where ``date`` is no date, days do not
     bound the summary, and ``carry_forward`` does the same on (``date``, ``col``).
     """
     if not isinstance(df.schema[date].dataType, T.DateType):
@@ -53,6 +53,6 @@ def fill_down(df: DataFrame, col: str, by: Sequence[str], date: str = "date") ->
         .filter(F.col("__gap") & F.col("__known").isNotNull())
         .drop("__gap")
     )
-    # Records that already have a value find no partner and pass through.
-    filled = join_null_safe(df, carried, keys, "left", F.col(col).isNull())
-    return filled.withColumn(col, F.coalesce(F.col(col), F.col("__known"))).select(*df.columns)
+    # Records that already have a value pass through and are not shuffled.
+    filled = join_null_safe(df.filter(F.col(col).isNull()), carried, keys, "left").withColumn(col, F.col("__known"))
+    return df.filter(F.col(col).isNotNull()).union(filled.select(*df.columns))

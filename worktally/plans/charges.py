@@ -74,10 +74,14 @@ def collapse(charges: DataFrame) -> DataFrame:
 def charge_ledger(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Accepted charges of ``prepare_charges``, collapsed before any other work.
 
-    The raw feed is read once: filling reads the stored, collapsed entries twice.
+    The raw feed is read once: filling reads the stored, collapsed entries.
+    Year and month follow from the date and are added at the end.
     """
-    entries = stored(collapse(type_charges(raw, by)), "entries")
-    return quality_gate(fill_down(entries, "code", [*by, "project"]), ["project", "code"])[0]
+    typed = type_charges(raw, by)
+    entries = stored(collapse(typed.drop("year", "month")), "entries")
+    good, _ = quality_gate(fill_down(entries, "code", [*by, "project"]), ["project", "code"])
+    good = good.withColumns({"year": fiscal_year("date"), "month": month_start("date")})
+    return good.select(*typed.drop("hours").columns, "hours", "n", "missing")
 
 
 def plan_ledger(raw: DataFrame, by: Sequence[str] = (), need_hours: bool = True) -> DataFrame:
@@ -155,19 +159,20 @@ def combine(charges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Charges lie inside the range that was derived from them, so only the blanks
     are trimmed, while they are made; a self-join of the charges is not needed.
-    A range lies in one fiscal year and is spelled out as its calendar weeks, at
-    most 54, which turns the range join into an equi join on the week. Charges
-    are read three times here, so they are stored first.
+    A range lies in one fiscal year and meets the charged weeks of that year as one
+    list, which is calendar-sized; neither ranges nor weeks are sent as one row for
+    each pair. Charges are read three times here, so they are stored first.
     """
     charges = stored(charges, "charges")
-    first, last = F.trunc("startdate", "week"), F.trunc("enddate", "week")
-    spelled = F.explode(F.sequence(first, last, F.expr("interval 7 days")))
-    projects = derive_projects(charges, by).withColumn("__week", spelled)
-    weeks = charged_weeks(charges, by).withColumn("__week", F.trunc("period", "week"))
-    inside = F.col("period").between(F.col("startdate"), F.col("enddate"))
-    blanks = _as_blank(join_null_safe(projects, weeks, [*by, "year", "__week"], "inner", inside))
-    dated = with_counts(charges).filter(F.col("date").isNotNull())
-    return union_feeds(dated, blanks.drop("startdate", "enddate", "__week"))
+    # One key that is never missing itself. The ledger of a group's year, added up before, is sent once to where all
+    # of this is done; single entries and the years of a whole feed are added up map-side instead.
+    keyed = charges.withColumn("__of", F.struct(*by, "year"))
+    keyed = keyed.repartition("__of") if by and "n" in charges.columns else keyed
+    weeks = charged_weeks(keyed, ["__of"]).groupBy("__of").agg(F.collect_list(F.struct("month", "period")).alias("__weeks"))
+    met = derive_projects(keyed, ["__of"]).join(weeks, "__of").withColumn("__week", F.explode("__weeks"))
+    met = met.filter(F.col("__week.period").between(F.col("startdate"), F.col("enddate")))
+    blanks = _as_blank(met.select("__of.*", "__week.month", "__week.period", "project", "code"))
+    return union_feeds(with_counts(charges).filter(F.col("date").isNotNull()), blanks)
 
 
 def combine_with_plan(charges: DataFrame, projects: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -47,29 +47,31 @@ def _month_lines(rows: DataFrame, by: Sequence[str], budgeted: bool) -> DataFram
     a budget per row. Everything after the first aggregate is calendar-sized
     per project.
     """
-    # Text and budget are keys of the first step, which then only adds numbers and
-    # is hashed map-side; maximum and median work on its short result.
-    details = [*by, "month", "project2", "code2"] + (["budgeted"] if budgeted else [])
     weight = F.when(F.col("length").isNotNull(), F.col("n"))
-    parts = rows.groupBy(*details).agg(
-        F.sum("hours").alias("hours"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("length") * F.col("n")).alias("__lengths"),
-        F.sum(weight).alias("__weight"),
-    )
-    measures = [
-        sum_lenient("hours").alias("hours"),
-        F.max(F.coalesce("code2", F.lit(NO_CODE))).alias("code2"),
-        F.sum("__lengths").alias("__lengths"),
-        F.sum("__weight").alias("__weight"),
-    ]
-    if budgeted:
-        measures.append(median_lenient("budgeted", "n").alias("budgeted"))
-    sums = stored(parts.groupBy(*by, "month", "project2").agg(*measures), "months")
-    lengths = sums.groupBy(*by, "month").agg(F.try_divide(F.sum("__lengths"), F.sum("__weight")).alias("length"))
-    lines = sums.drop("__lengths", "__weight")
-    lines = complete(lines, "project2", "month", by, {"hours": 0.0, "code2": NO_CODE})
-    lines = join_null_safe(lines, lengths, [*by, "month"], "left").withColumn("year", fiscal_year("month"))
+    lengths = [F.sum(F.col("length") * F.col("n")).alias("__lengths"), F.sum(weight).alias("__weight")]
+    code = F.max(F.coalesce("code2", F.lit(NO_CODE))).alias("code2")
+    if by and not budgeted:
+        # Groups are many and small: codes hardly repeat in a month, so one step sends each line once.
+        parts = rows.groupBy(*by, "month", "project2").agg(sum_lenient("hours").alias("hours"), code, *lengths)
+        sums = stored(parts, "months")
+    else:
+        # Text and budget are keys of the first step, which then only adds numbers and
+        # is hashed map-side; maximum and median work on its short result.
+        details = [*by, "month", "project2", "code2"] + (["budgeted"] if budgeted else [])
+        parts = rows.groupBy(*details).agg(F.sum("hours").alias("hours"), F.sum("n").alias("n"), *lengths)
+        measures = [sum_lenient("hours").alias("hours"), code, F.sum("__lengths").alias("__lengths"), F.sum("__weight").alias("__weight")]
+        if budgeted:
+            measures.append(median_lenient("budgeted", "n").alias("budgeted"))
+        sums = stored(parts.groupBy(*by, "month", "project2").agg(*measures), "months")
+    fill = {"hours": 0.0, "code2": NO_CODE}
+    length = lambda window=None: F.try_divide(*[F.sum(c).over(window) if window else F.sum(c) for c in ("__lengths", "__weight")])
+    if by:
+        # Lines of a group and year are sent once, for the lengths of months and the codes of projects.
+        lines = complete(sums, "project2", "month", by, fill).withColumn("year", fiscal_year("month")).repartition(*by, "year")
+        lines = lines.withColumn("length", length(Window.partitionBy(*by, "year", "month"))).drop("__lengths", "__weight")
+    else:
+        lines = complete(sums.drop("__lengths", "__weight"), "project2", "month", by, fill).withColumn("year", fiscal_year("month"))
+        lines = join_null_safe(lines, sums.groupBy("month").agg(length().alias("length")), ["month"], "left")
     # At most twelve months per group.
     one_year = Window.partitionBy(*by, "year", "project2")
     lines = lines.withColumn("code2", F.max("code2").over(one_year))
