@@ -73,6 +73,29 @@ def test_components_of_any_size_take_part(spark):
     assert [tuple(r) for r in topk.top_k(small, F.col("vec_id") % 50 == 0).collect()] == [(200, 1, 201, 0)]
 
 
+def test_queries_meet_rows_in_tiles_and_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 4)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (200, 5)) / 256.0  # many ties
+    ids = [i % 180 for i in range(200)]  # 0 to 19 come twice
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(500 + i, [float(i % 7), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows]
+    want = collections.Counter()
+    for i, a in whole:
+        if i % 5 == 0:
+            near = sorted((-sum(p * q for p, q in zip(a, b)), j) for j, b in whole if j != i and len(a) == len(b))[:3]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(near))
+    for sizes in ((4, 48, 32), (3, 2, 1), (1, 1, 1)):  # blocks of rows and of queries in a tile, strips at least
+        for name, value in zip(("BLOCKS_PER_TILE", "QUERY_BLOCKS_PER_TILE", "LEAST_STRIPS"), sizes):
+            monkeypatch.setattr(topk, name, value, raising=False)
+        best = topk.top_k(df, F.col("vec_id") % 5 == 0, k=3)
+        assert collections.Counter(tuple(r) for r in best.select("query_id", "rank", "vec_id", "score").collect()) == want
+        # A copy of the queries for each block of rows once came to the driver where the queries themselves looked small.
+        assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bit_slices_add_up():
     rng = np.random.default_rng(1)
     values, query = rng.integers(-300, 300, (130, 9)), rng.integers(-300, 300, 9)

@@ -7,8 +7,9 @@ adds complements), which gives the bit slices of all scores of the block at once
 then selected from the most significant slice down; rows still equal at the boundary after the last slice
 have equal scores and are told apart by the smaller id.
 
-Queries are a stated set. Blocks of queries meet each block of rows by an equality join; a block hands on
-k rows for each query, and a ranking by query joins them.
+Queries are a stated set. Blocks of queries meet blocks of rows in tiles: a tile is one task, which holds a few blocks
+of rows and lets blocks of queries pass; it hands on k rows for each query, and a ranking by query joins them. No side
+is broadcast, so that the driver sees two counts only, and a task sees a tile whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from worktally.llm.vectors import dumped, loaded, matrix, usable, whole_numbers
 SCALE = 256
 ROWS_PER_BLOCK = 8_192
 QUERIES_PER_BLOCK = 256
+#: A tile has at most so many blocks of rows and of queries; up to LEAST_STRIPS blocks of rows, each has a tile of its own.
+BLOCKS_PER_TILE = 4
+QUERY_BLOCKS_PER_TILE = 48
+LEAST_STRIPS = 32
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +150,39 @@ def _pack(with_slices: bool, scale: int):
 PACKED = "block long, dims long, ids binary, body binary, least binary"
 
 
+def _best_of(found: list, number: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the query, vec_id and score of the k best for each of so many queries; found: for each block its ids and what search_block gave."""
+    nth = np.concatenate([np.repeat(np.arange(number), [len(f) for f, _ in hits]) for _, hits in found])
+    at = np.concatenate([ids[f] for ids, hits in found for f, _ in hits])
+    score = pa.array([x for _, hits in found for _, s in hits for x in s.tolist()], pa.int64()).to_numpy(zero_copy_only=False)
+    order = np.lexsort((at, ~score, nth))
+    nth = nth[order]
+    kept = np.arange(len(nth)) - np.searchsorted(nth, nth) < k
+    return nth[kept], at[order][kept], score[order][kept]
+
+
+def _search(k: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, dims = [], None  # the blocks of rows of a tile, which come before its queries
+        for batch in batches:
+            for i in range(len(batch)):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["dims"] != dims:
+                    held, dims = [], r["dims"]
+                ids = np.frombuffer(r["ids"], np.int64)
+                if not r["asks"]:
+                    held.append((ids, np.frombuffer(r["body"], np.uint64).reshape(dims, -1, -(-len(ids) // 64)), loaded(r["least"], 1)[0]))
+                elif held:
+                    queries = loaded(r["body"], len(ids))
+                    nth, at, score = _best_of([(own, list(search_block(own, slices, least, ids, queries, k))) for own, slices, least in held], len(ids), k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), r["block"])), pa.array(np.full(len(at), dims)), pa.array(nth), pa.array(ids[nth]), pa.array(at), pa.array(score)],
+                        ["query_block", "query_dims", "nth", "query_id", "vec_id", "score"],
+                    )
+
+    return search
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product of each query among all other rows.
 
@@ -161,30 +199,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     blocks = split_count(n, ROWS_PER_BLOCK)
 
     index = rows.select("vec_id", "value", "dims").repartition(blocks).mapInArrow(_pack(True, scale), PACKED)
-    index = stored(index, "topk-index").repartition(blocks, "block")
-    queries = rows.filter("is_query").select("vec_id", "value", "dims").repartition(split_count(asked, QUERIES_PER_BLOCK)).mapInArrow(_pack(False, scale), PACKED)
-    queries = stored(queries.selectExpr("block as query_block", "dims as query_dims", "ids as query_ids", "body as query"), "topk-queries")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition(blocks, "block")
-    meeting = index.join(queries, (index["block"] == queries["block"]) & (index["dims"] == queries["query_dims"]))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, least = np.frombuffer(r["ids"], np.int64), loaded(r["least"], 1)[0]
-                words = -(-len(ids) // 64)
-                slices = np.frombuffer(r["body"], np.uint64).reshape(r["dims"], -1, words)
-                own = np.frombuffer(r["query_ids"], np.int64)
-                found = list(search_block(ids, slices, least, own, loaded(r["query"], len(own)), k))
-                count = [len(f) for f, _ in found]
-                number = np.repeat(np.arange(len(own)), count)
-                at = np.concatenate([f for f, _ in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), r["query_block"])), pa.array(np.full(len(at), r["dims"])), pa.array(number), pa.array(own[number]), pa.array(ids[at]), pa.array(np.concatenate([s for _, s in found]).tolist(), pa.int64())],
-                    ["query_block", "query_dims", "nth", "query_id", "vec_id", "score"],
-                )
-
-    meeting = meeting.select(index["dims"], "ids", "body", "least", "query_block", "query_ids", "query")
-    best = meeting.mapInArrow(search, "query_block long, query_dims long, nth long, query_id long, vec_id long, score long")
+    index = stored(index, "topk-index")
+    query_blocks = split_count(asked, QUERIES_PER_BLOCK)
+    queries = rows.filter("is_query").select("vec_id", "value", "dims").repartition(query_blocks).mapInArrow(_pack(False, scale), PACKED)
+    queries = stored(queries, "topk-queries")
+
+    strips = max(split_count(blocks, BLOCKS_PER_TILE), min(blocks, LEAST_STRIPS))
+    chunks = split_count(query_blocks, QUERY_BLOCKS_PER_TILE)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    index = index.select(F.lit(False).alias("asks"), "*", (F.col("block") % strips).alias("strip"), each(chunks).alias("chunk"))
+    queries = queries.select(F.lit(True).alias("asks"), "*", (F.col("block") % chunks).alias("chunk"), each(strips).alias("strip"))
+    tiles = index.unionByName(queries).repartitionById(strips * chunks, (F.col("strip") * chunks + F.col("chunk")).cast("int"))
+    tiles = tiles.sortWithinPartitions("dims", "asks", "block").select("asks", "block", "dims", "ids", "body", "least")
+    best = tiles.mapInArrow(_search(k), "query_block long, query_dims long, nth long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_block", "query_dims", "nth").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
